@@ -36,8 +36,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
         "budget": F.sum("source_size").over(Window.partitionBy()) * F.lit(total),
     })
     level = (F.col("budget") - F.col("capped_before")) / F.col("weight_left")
-    per = per.withColumn("level", F.min(F.when(F.col("cap") / F.col("weight") >= level, level)).over(Window.partitionBy()))
-    share = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
+    # The level rises while sources are capped that it would overfill, and falls from then on: it is the largest.
+    per = per.withColumn("level", F.max(level).over(Window.partitionBy()))
+    share = F.least("cap", F.col("level") * F.col("weight"))
     return per.select("source", "source_size", share.alias("target"))
 
 
@@ -85,9 +86,8 @@ o as (
   from w),
 l as (select *, (budget - capped_before) / weight_left as own from o),
 t as (
-  select source, source_size,
-    case when lev is null then cap else least(cap, lev * weight) end::double as target
-  from (select *, min(case when cap / weight >= own then own end) over () as lev from l)),
+  select source, source_size, least(cap, lev * weight)::double as target
+  from (select *, max(own) over () as lev from l)),
 r as (
   select doc_id, size, source_size, target,
     case when source_size > 0 then target / source_size else 0.0 end as rate,
