@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, ngram_join, pieces, quality
+from millrace.llm import exact_dedup, mixing, ngram_join, pieces, quality, suffix_dedup
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {**exact_dedup.SQL, **mixing.SQL}
