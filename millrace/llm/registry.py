@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, ngram_join, pieces, quality, suffix_dedup
+from millrace.llm import exact_dedup, licences, line_dedup, mixing, ngram_join, pieces, quality, suffix_dedup
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op9_licence_scan": licences.op9_licence_scan,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {**exact_dedup.SQL, **mixing.SQL}
+ORACLES = {**exact_dedup.SQL, **line_dedup.SQL, **mixing.SQL}
