@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, licences, line_dedup, mixing, ngram_join, pieces, quality, suffix_dedup
+from millrace.llm import exact_dedup, licences, line_dedup, mixing, ngram_join, pieces, quality, suffix_dedup, surrogates, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_surrogates": surrogates.op8_surrogates,
     "op9_licence_scan": licences.op9_licence_scan,
     "op10_quality": quality.op10_quality,
 }
