@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, split_join
@@ -14,6 +14,13 @@ def _star(pairs: DataFrame) -> DataFrame:
     return split_join(pairs, least, ["u"], "inner")
 
 
+def _settled(pairs: DataFrame) -> tuple[DataFrame, dict]:
+    """The pairs, checkpointed, and a count and checksum of them that the same job observes."""
+    seen = Observation()
+    out = cut(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+    return out, seen.get
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node reachable.
 
@@ -21,18 +28,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     after about the logarithm of the longest path. Each round is checkpointed, so lineage stays short and a
     lost executor costs no earlier round. No node's partners are ever gathered in one row.
     """
-    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    now, state = _settled(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _star(large)
         parents = small.select(F.col("u").alias("u"), F.col("m").alias("v"))
-        now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(parents).filter("u <> v").distinct())
+        before = state
+        now, state = _settled(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(parents).filter("u <> v").distinct())
+        if state == before:
+            break
     else:
         raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

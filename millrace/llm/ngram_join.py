@@ -13,7 +13,7 @@ most the sum of their coordinates' minima. Two uses of the groups make this a di
 from __future__ import annotations
 
 import hashlib
-import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,9 @@ def shingles(text: str, width: int) -> np.ndarray:
     total = h[: n - short + 1].copy()
     for k in range(1, short):
         total = mixed(total * M1) + h[k : n - short + 1 + k]
-    return np.unique(mixed(total * M2 + np.uint64(short)))
+    total = mixed(total * M2 + np.uint64(short))
+    total.sort()
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 class Threshold:
@@ -85,17 +87,21 @@ class Threshold:
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """A hash of each group's elements, in each tier."""
         out = []
-        spread, value = mixed(s ^ M1) >> np.uint64(24), mixed(s ^ M2)
+        # Groups are ranges of the hash, and the set is sorted, so a group's elements are neighbours.
+        total = np.r_[np.uint64(0), np.cumsum(mixed(s ^ M2))]
         for tier in self.tiers(len(s)):
-            d = self.groups(tier)
-            at = (spread % np.uint64(d)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[order], np.arange(d))
-            sums = np.add.reduceat(np.r_[value[order], np.uint64(0)], cuts)
-            sums[np.diff(np.r_[cuts, len(s)]) == 0] = 0
-            out.append(mixed(sums + mixed(np.arange(d, dtype=np.uint64) * M2 + np.uint64(tier))))
+            edges, names = self.ranges(tier)
+            at = np.r_[np.searchsorted(s, edges), len(s)]
+            out.append(mixed(total[at[1:]] - total[at[:-1]] + names))
         return np.concatenate(out)
 
+    @lru_cache(maxsize=None)  # noqa: B019  one entry for each tier
+    def ranges(self, tier: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least hash of each of a tier's groups, and a number for each group."""
+        d = self.groups(tier)
+        edges = np.array([-(-(k << 64) // d) for k in range(d)], np.uint64)
+        return edges, mixed(np.arange(d, dtype=np.uint64) * M2 + np.uint64(tier))
+
 
 def point(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((mixed(s ^ M2) >> np.uint64(40)).astype(np.int64) % COORDINATES, minlength=COORDINATES), 65535).astype(np.uint16)
@@ -157,6 +163,30 @@ def forest(points: np.ndarray, sizes: np.ndarray, threshold: Threshold, verify=N
     return edges
 
 
+class Joined(dict):
+    """Nodes joined within one task; comes out as each node's edge to the smallest of its set."""
+
+    def root(self, node: int) -> int:
+        top = self.setdefault(node, node)
+        while self[top] != top:
+            top = self[top]
+        while self[node] != top:
+            self[node], node = top, self[node]
+        return top
+
+    def add(self, u: int, v: int) -> None:
+        a, b = self.root(u), self.root(v)
+        self[max(a, b)] = min(a, b)
+
+    def all_one(self, nodes: list[int]) -> bool:
+        first = self.root(nodes[0])
+        return all(n in self and self.root(n) == first for n in nodes[1:])
+
+    def edges(self) -> pa.Table:
+        pairs = [(n, top) for n in list(self) if (top := self.root(n)) != n]
+        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+
+
 class Classes:
     """A slab's documents with equal sets as one class; its node is the smallest doc_id."""
 
@@ -232,20 +262,25 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), KIND, strict=True)], schema=KIND)
 
     all_rows = cut(slabs.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(members, KIND_DDL))
-    edge = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
     def blocks(part: pa.Table) -> pa.Table:
         packed = np.frombuffer(b"".join(column(part, "data")), ROW)
         packed = packed[np.argsort(packed["sig"], kind="stable")]
-        edges = set()
-        for block in np.split(packed, np.flatnonzero(np.diff(packed["sig"])) + 1):
-            if len(block) == 2:  # the usual block needs no tree
-                a, b = block
-                if int(np.minimum(a["point"], b["point"]).sum(dtype=np.int64)) >= threshold.need(int(a["n"]), int(b["n"])):
-                    edges.add((int(a["node"]), int(b["node"])))
-            elif len(block) > 2:
-                edges |= {(int(block["node"][i]), int(block["node"][j])) for i, j in forest(block["point"], block["n"], threshold)}
-        return pa.Table.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=edge)
+        joined = Joined()
+        starts = np.flatnonzero(np.r_[True, packed["sig"][1:] != packed["sig"][:-1]])
+        sizes = np.diff(np.r_[starts, len(packed)])
+        # Blocks of two are many and need no tree: all their bounds at once.
+        two = starts[sizes == 2]
+        a, b = packed[two], packed[two + 1]
+        near = np.minimum(a["point"], b["point"]).sum(1, dtype=np.int64) >= threshold.need(a["n"], b["n"])
+        for u, v in set(zip(a["node"][near].tolist(), b["node"][near].tolist(), strict=True)):
+            joined.add(u, v)
+        for first, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            block = packed[first : first + size]
+            nodes = block["node"].tolist()
+            if not joined.all_one(nodes):
+                for i, j in forest(block["point"], block["n"], threshold):
+                    joined.add(nodes[i], nodes[j])
+        return joined.edges()
 
     candidates = all_rows.filter("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(blocks, "u long, v long")
     grouped = components(candidates)
@@ -261,7 +296,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verified(part: pa.Table) -> pa.Table:
         nodes, of_component = np.array(column(part, "node"), np.int64), np.array(column(part, "component"), np.int64)
         data = part.column("data")
-        edges: list[tuple[int, int]] = []
+        joined = Joined()
         order = np.argsort(of_component, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(of_component[order])) + 1):
             if len(group) < 2:
@@ -279,8 +314,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 mark[mine] = False
                 return of * overlap >= over * (sizes[i] + sizes[among] - overlap)
 
-            edges += [(int(nodes[group[i]]), int(nodes[group[j]])) for i, j in forest(np.stack([point(s) for s in own_sets]), sizes, threshold, verify)]
-        return pa.Table.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=edge)
+            for i, j in forest(np.stack([point(s) for s in own_sets]), sizes, threshold, verify):
+                joined.add(int(nodes[group[i]]), int(nodes[group[j]]))
+        return joined.edges()
 
     links = sets.groupBy("g", "i", "j").applyInArrow(verified, "u long, v long")
     classes = components(links)
