@@ -28,33 +28,51 @@ from millrace.llm.shared import M1, M2, by_bucket, column, found, mixed, owned,
 COORDINATES = 32
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_hashes = WordHashes()
-
-
-def shingles(text: str, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
-    words = text.encode().lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-    short = min(n, width)
-    total = h[: n - short + 1].copy()
-    for k in range(1, short):
-        total = mixed(total * M1) + h[k : n - short + 1 + k]
-    total = mixed(total * M2 + np.uint64(short))
-    total.sort()
-    return total[np.r_[True, total[1:] != total[:-1]]]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * M1)
+_LETTER[_SPACE] = 0
+_STEP = M2 | np.uint64(1)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a buffer's words, and where they start; no table of words is kept."""
+    data = np.frombuffer(raw, np.uint8)
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(data) else np.zeros(0, np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    at = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))
+    powers = np.cumprod(np.full(int(at.max()) + 1, _STEP))
+    return mixed(np.add.reduceat(_LETTER[data[starts[0] :]] * powers[at], starts - starts[0])), starts
+
+
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of shingles; a shorter text is one shingle, one without words has none."""
+    raws = [t.encode().lower() for t in texts]
+    sizes = np.array([len(r) + 1 for r in raws], np.int64)
+    h, starts = word_hashes(b" ".join(raws))
+    bounds = np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])
+    total = h.copy()
+    for k in range(1, width):
+        total[: len(h) - k] = mixed(total[: len(h) - k] * M1) + h[k:]
+    total = mixed(total * M2 + np.uint64(width))
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= width:
+            own = np.sort(total[a : b - width + 1])
+            fresh = np.empty(len(own), bool)
+            fresh[0] = True
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            out.append(own[fresh])
+        elif b > a:
+            own = h[a : a + 1].copy()
+            for k in range(1, b - a):
+                own = mixed(own * M1) + h[a + k : a + k + 1]
+            out.append(mixed(own * M2 + np.uint64(b - a)))
+        else:
+            out.append(h[:0])
+    return out
 
 
 class Threshold:
@@ -88,11 +106,15 @@ class Threshold:
         """A hash of each group's elements, in each tier."""
         out = []
         # Groups are ranges of the hash, and the set is sorted, so a group's elements are neighbours.
-        total = np.r_[np.uint64(0), np.cumsum(mixed(s ^ M2))]
+        total = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum(mixed(s ^ M2), out=total[1:])
         for tier in self.tiers(len(s)):
             edges, names = self.ranges(tier)
-            at = np.r_[np.searchsorted(s, edges), len(s)]
-            out.append(mixed(total[at[1:]] - total[at[:-1]] + names))
+            ends = total[np.searchsorted(s, edges)]
+            sums = np.empty(len(ends), np.uint64)
+            np.subtract(ends[1:], ends[:-1], out=sums[:-1])
+            sums[-1] = total[-1] - ends[-1]
+            out.append(mixed(sums + names))
         return np.concatenate(out)
 
     @lru_cache(maxsize=None)  # noqa: B019  one entry for each tier
@@ -196,9 +218,9 @@ class Classes:
         known: dict[bytes, int] = {}
         self.sets: list[np.ndarray] = []
         self.nodes: list[int] = []
-        text = rows.column("text")
-        for k in np.argsort(ids, kind="stable").tolist():
-            s = shingles(text[k].as_py(), width)
+        order = np.argsort(ids, kind="stable").tolist()
+        text = column(rows, "text")
+        for k, s in zip(order, shingle_sets([text[k] for k in order], width), strict=True):
             if not len(s):
                 self.docs.append((int(ids[k]), 0, int(ids[k])))
                 continue
