@@ -122,7 +122,7 @@ HEAD = np.dtype([("doc", "<i8"), ("row", "<i4"), ("at", "<i4"), ("windows", "<i4
 SENT = pa.schema([("bucket", pa.int32()), ("slab", pa.int32()), ("heads", pa.binary()), ("data", pa.binary())])
 
 
-def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, slab_bytes: int = 2 << 20, hot: int = 1000) -> DataFrame:
+def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, slab_bytes: int = 2 << 20, hot: int = 10_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of the removed runs.
 
     Texts are UTF-8 bytes, null is empty, matches never cross documents; texts shorter than `length` keep all.
@@ -177,7 +177,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for p in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1) if len(order) else []:
             b = int(buckets[p[0]])
             data = b"" if b < 0 else b"".join([raw[f : f + s] for f, s in zip(first[p].tolist(), size[p].tolist(), strict=True)])
-            out.append((b if b >= 0 else -1 - slab_id, slab_id, heads[p].tobytes(), data))
+            out.append((b if b >= 0 else -1 - slab_id, slab_id, heads[p].tobytes(), pa.compress(data, "zstd", asbytes=True) if data else data))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), SENT, strict=True)], schema=SENT) if out else SENT.empty_table()
 
     back = pa.schema([("slab", pa.int32()), ("heads", pa.binary())])
@@ -189,10 +189,18 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lists = [np.frombuffer(x, HEAD) for x in column(part, "heads")]
         heads = np.concatenate(lists)
         of_slab = np.repeat(np.array(column(part, "slab"), np.int64), [len(x) for x in lists])
-        data = np.frombuffer(b"".join(column(part, "data")), np.uint8)
         sizes = heads["windows"].astype(np.int64) + length - 1
+        raw = b"".join(pa.decompress(x, int(n["windows"].sum()) + len(n) * (length - 1), "zstd", asbytes=True) for x, n in zip(column(part, "data"), lists, strict=True))
+        data = np.frombuffer(raw, np.uint8)
         begins = np.cumsum(sizes) - sizes
-        windows = heads["windows"].astype(np.int64)
+        # Runs that an earlier document holds as a whole need no sorting.
+        seen: dict[bytes, int] = {}
+        gone = np.zeros(len(heads), bool)
+        by_doc = np.argsort(heads["doc"], kind="stable")
+        for k, f, n, d in zip(by_doc.tolist(), begins[by_doc].tolist(), sizes[by_doc].tolist(), heads["doc"][by_doc].tolist(), strict=True):
+            gone[k] = seen.setdefault(raw[f : f + n], d) < d
+        del seen
+        windows = np.where(gone, 0, heads["windows"].astype(np.int64))
         step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
         starts, run = np.repeat(begins, windows) + step, np.repeat(np.arange(len(heads)), windows)
         late = np.zeros(len(starts), bool)
@@ -207,7 +215,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = np.zeros(len(cuts), HEAD)
         out["doc"], out["row"], out["at"] = heads["doc"][run[cuts]], heads["row"][run[cuts]], heads["at"][run[cuts]] + step[cuts]
         out["windows"] = np.diff(np.r_[cuts, len(run)])
-        of_slab = of_slab[run[cuts]]
+        out, of_slab = np.concatenate([heads[gone], out]), np.concatenate([of_slab[gone], of_slab[run[cuts]]])
         order = np.argsort(of_slab, kind="stable")
         groups = np.split(order, np.flatnonzero(np.diff(of_slab[order])) + 1) if len(order) else []
         return pa.Table.from_arrays([pa.array([int(of_slab[p[0]]) for p in groups], pa.int32()), pa.array([out[p].tobytes() for p in groups], pa.binary())], schema=back)
