@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression used in several places is else computed in each."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def days_between(start: Column, end: Column) -> Column:
     """Fractional days; both are zoneless timestamps."""
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(86_400_000_000.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.provenance", "operators.survival", "operators.measures", "operators.selection")
+MODULES = ("operators.provenance", "operators.survival", "operators.measures", "operators.selection", "functions.names", "functions.pay")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
