@@ -97,10 +97,17 @@ class Threshold:
             out.append(out[-1] + 1)
         return out
 
-    def groups(self, tier: int) -> int:
-        """One group more than linked sets of this tier can differ in."""
+    def groups(self, tier: int) -> tuple[int, int]:
+        """How many groups a tier has, and how many of them a set may leave out.
+
+        Linked sets differ in at most k elements, so in at most k groups: of k + 1 + spare, spare + 1 are equal. Each
+        set leaves out groups smaller than some size, at most spare of them. Of two sets take the one with the larger
+        size: of the equal groups at most spare are smaller than that, so one at least is kept by both.
+        """
         most = int(self.bounds[tier + 1]) - 1
-        return 2 * most * (self.of - self.over) // (self.of + self.over) + 1
+        k = 2 * most * (self.of - self.over) // (self.of + self.over)
+        spare = -(-k * 3 // 20)
+        return k + 1 + spare, spare
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """A hash of each group's elements, in each tier."""
@@ -109,20 +116,21 @@ class Threshold:
         total = np.zeros(len(s) + 1, np.uint64)
         np.cumsum(mixed(s ^ M2), out=total[1:])
         for tier in self.tiers(len(s)):
-            edges, names = self.ranges(tier)
-            ends = total[np.searchsorted(s, edges)]
-            sums = np.empty(len(ends), np.uint64)
-            np.subtract(ends[1:], ends[:-1], out=sums[:-1])
-            sums[-1] = total[-1] - ends[-1]
-            out.append(mixed(sums + names))
+            edges, names, spare = self.ranges(tier)
+            at = np.empty(len(edges) + 1, np.int64)
+            at[:-1], at[-1] = np.searchsorted(s, edges), len(s)
+            ends = total[at]
+            sums, sizes = ends[1:] - ends[:-1], at[1:] - at[:-1]
+            kept = sizes >= np.partition(sizes, spare)[spare]
+            out.append(mixed(sums[kept] + names[kept]))
         return np.concatenate(out)
 
     @lru_cache(maxsize=None)  # noqa: B019  one entry for each tier
-    def ranges(self, tier: int) -> tuple[np.ndarray, np.ndarray]:
-        """The least hash of each of a tier's groups, and a number for each group."""
-        d = self.groups(tier)
+    def ranges(self, tier: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The least hash of each of a tier's groups, a number for each group, and how many a set may leave out."""
+        d, spare = self.groups(tier)
         edges = np.array([-(-(k << 64) // d) for k in range(d)], np.uint64)
-        return edges, mixed(np.arange(d, dtype=np.uint64) * M2 + np.uint64(tier))
+        return edges, mixed(np.arange(d, dtype=np.uint64) * M2 + np.uint64(tier)), spare
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -239,6 +247,27 @@ class Classes:
 
 
 ROW = np.dtype([("sig", "<u8"), ("node", "<i8"), ("n", "<i8"), ("point", "<u2", (COORDINATES,))])
+
+
+def packed_rows(rows: np.ndarray) -> bytes:
+    """Rows column by column, compressed: a node's number and point come with each of its signatures."""
+    raw = b"".join([rows["sig"].tobytes(), rows["node"].tobytes(), rows["n"].astype("<u4").tobytes(), np.ascontiguousarray(rows["point"].T).tobytes()])
+    return len(rows).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked_rows(blobs: list[bytes]) -> np.ndarray:
+    parts = []
+    for blob in blobs:
+        k = int.from_bytes(blob[:4], "little")
+        raw = pa.decompress(blob[4:], k * (20 + 2 * COORDINATES), "zstd", asbytes=True)
+        rows = np.empty(k, ROW)
+        rows["sig"], rows["node"] = np.frombuffer(raw, "<u8", k), np.frombuffer(raw, "<i8", k, 8 * k)
+        rows["n"] = np.frombuffer(raw, "<u4", k, 16 * k)
+        rows["point"] = np.frombuffer(raw, "<u2", k * COORDINATES, 20 * k).reshape(COORDINATES, k).T
+        parts.append(rows)
+    return np.concatenate(parts)
+
+
 KIND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 KIND_DDL = "kind int, doc_id long, n long, node long, bucket long, data binary"
 
@@ -274,18 +303,17 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         out = [(0, d, n, node, 0, None) for d, n, node in own.docs]
         chosen = np.unique(of_class)
         points = {int(c): point(own.sets[c]) for c in chosen}
-        out += [(2, 0, len(own.sets[c]), own.nodes[c], 0, own.sets[c].tobytes()) for c in chosen.tolist()]
         for b, at in by_bucket(sigs, n_buckets):
             packed = np.zeros(len(at), ROW)
             packed["sig"] = sigs[at]
             for k, c in enumerate(of_class[at].tolist()):
                 packed["node"][k], packed["n"][k], packed["point"][k] = own.nodes[c], len(own.sets[c]), points[c]
-            out.append((1, 0, 0, 0, b, packed.tobytes()))
+            out.append((1, 0, 0, 0, b, packed_rows(packed[np.argsort(packed["node"], kind="stable")])))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), KIND, strict=True)], schema=KIND)
 
     all_rows = cut(slabs.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(members, KIND_DDL))
     def blocks(part: pa.Table) -> pa.Table:
-        packed = np.frombuffer(b"".join(column(part, "data")), ROW)
+        packed = unpacked_rows(column(part, "data"))
         packed = packed[np.argsort(packed["sig"], kind="stable")]
         joined = Joined()
         starts = np.flatnonzero(np.r_[True, packed["sig"][1:] != packed["sig"][:-1]])
@@ -306,14 +334,30 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     candidates = all_rows.filter("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(blocks, "u long, v long")
     grouped = components(candidates)
-    sets = split_join(all_rows.filter("kind = 2").select("node", "n", "data"), grouped, ["node"], "inner")
-    parts = sets.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(tile)).cast("int").alias("parts"))
-    sets = split_join(sets, parts, ["component"], "inner")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    sets = sets.withColumn("pair", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(alone)))
-    sets = sets.select(F.when(F.col("parts") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(max(n_buckets, 256)))).alias("g"), "pair.i", "pair.j", "component", "node", "n", "data")
+    # Where each set goes is settled on its size alone; only sets of candidate components are then taken from the slabs.
+    sizes = split_join(all_rows.filter("kind = 0 and doc_id = node").select("node", "n").distinct(), grouped, ["node"], "inner")
+    parts = sizes.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(tile)).cast("int").alias("parts"))
+    places = split_join(sizes, parts, ["component"], "inner").select(slab(n_slabs, "node").alias("slab"), "node", "component", "parts")
+    n_groups = max(n_buckets, 256)
+    set_kind = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("component", pa.int64()), ("node", pa.int64()), ("data", pa.binary())])
+
+    def placed(part: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not part.num_rows or not wanted.num_rows:
+            return set_kind.empty_table()
+        own = Classes(part, width)
+        place = {node: (c, p) for node, c, p in zip(column(wanted, "node"), column(wanted, "component"), column(wanted, "parts"), strict=True)}
+        out = []
+        for node, s in zip(own.nodes, own.sets, strict=True):
+            if node in place:
+                c, p = place[node]
+                mine = int(mixed(np.array([node], np.uint64))[0]) % p
+                for k in range(p) if p > 1 else ():
+                    out.append((c, min(k, mine), max(k, mine), c, node, s.tobytes()))
+                if p == 1:
+                    out.append((int(mixed(np.array([c], np.uint64))[0]) % n_groups, -1, -1, c, node, s.tobytes()))
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), set_kind, strict=True)], schema=set_kind) if out else set_kind.empty_table()
+
+    sets = slabs.groupBy("slab").cogroup(places.groupBy("slab")).applyInArrow(placed, "g long, i int, j int, component long, node long, data binary")
 
     def verified(part: pa.Table) -> pa.Table:
         nodes, of_component = np.array(column(part, "node"), np.int64), np.array(column(part, "component"), np.int64)
