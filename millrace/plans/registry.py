@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.provenance", "operators.survival", "operators.measures", "operators.selection", "operators.rules", "functions.names", "functions.pay", "functions.urls")
+MODULES = ("operators.provenance", "operators.survival", "operators.measures", "operators.selection", "operators.rules", "operators.merges", "functions.names", "functions.pay", "functions.urls", "streaming.events", "sources.feeds")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
