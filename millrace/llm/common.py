@@ -23,6 +23,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame, id_col: str) -> DataFrame:
+    """(k, r): the id, and the whole row as one struct, so that no column of the documents can clash with an operator's."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The documents whose id isn't in the one column of ids; rows with a null id stay."""
+    return packed(docs, id_col).join(ids.toDF("k"), "k", "left_anti").select("r.*")
+
+
 def slabs_for(docs: DataFrame, slab_bytes: int, least: int = 64) -> int:
     """How many slabs of about slab_bytes of text the documents fill; one scan of lengths."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

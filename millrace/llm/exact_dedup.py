@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import split_join, table, texts
+from millrace.llm.common import split_join, table, texts, without
 
 
 def squeezed(text: Column) -> Column:
@@ -45,13 +45,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = groups.select("text_sha256", "len", "head", (-F.col("best.neg")).alias("keep_id"), "group_size")
     out = split_join(keyed, groups, ["len", "head", "text_sha256"])
     keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (keep == F.col("doc_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    return without(docs, exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id"), id_col)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

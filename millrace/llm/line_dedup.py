@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import split_join, table, texts
+from millrace.llm.common import packed, split_join, table, texts
 
 # A line is cut after sentence ends, so that a passage inside a longer line is met too; cut pieces cover the text.
 SENTENCES = r"[^\n.!?]+[.!?]*\n?|[\n.!?]+"
@@ -40,7 +40,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
                         digests.append(hashlib.md5(b" ".join(words)).digest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "unit", "start", "length", "digest"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, unit int, start int, length int, digest binary")
+    return texts(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(run, "doc_id long, unit int, start int, length int, digest binary")
 
 
 def repeated_units(docs: DataFrame, **options) -> DataFrame:
@@ -62,13 +62,13 @@ def repeated_units(docs: DataFrame, **options) -> DataFrame:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with later copies of units cut out of their texts; a document's spans are sorted and applied once."""
     spans = repeated_units(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_spans"))
-    spans = spans.withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_doc_id"), "left")
-    text = F.col(text_col)
+    joined = packed(docs, id_col).join(spans.withColumnRenamed("doc_id", "k"), "k", "left")
+    text = F.col("r").getField(text_col)
     ends = F.concat(F.array(F.lit(1)), F.transform("_spans", lambda s: s["start"] + s["length"] + 1))
     begins = F.concat(F.transform("_spans", lambda s: s["start"] + 1), F.array(F.char_length(text) + 1))
     parts = F.zip_with(ends, begins, lambda a, b: F.substring(text, a, b - a))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(parts, ""))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut_text = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(parts, ""))
+    return joined.select(F.col("r").withField(text_col, cut_text).alias("r")).select("r.*")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

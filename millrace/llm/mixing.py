@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, split_join, table
+from millrace.llm.common import WORD, packed, split_join, table
 
 WEIGHTS = (3, 1, 2)
 SEED = "mix-1:"
@@ -61,9 +61,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Only ids and counts are joined with the texts; a document taken no time goes.
     """
-    copies = mix_rates(docs, **options).select(F.col("doc_id").alias("_id"), "copies").filter("copies > 0").groupBy("_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, F.col(options.get("id_col", "doc_id")).cast("long") == F.col("_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = mix_rates(docs, **options).select(F.col("doc_id").alias("k"), "copies").filter("copies > 0").groupBy("k").agg(F.max("copies").cast("int").alias("copies"))
+    joined = packed(docs, options.get("id_col", "doc_id")).join(copies, "k")
+    return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("r.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, slab, slabs_for, split_join, table, texts
+from millrace.llm.common import cut, slab, slabs_for, split_join, table, texts, without
 from millrace.llm.components import components
-from millrace.llm.shared import M1, M2, by_bucket, column, found, mixed, owned, received, shared_keys
+from millrace.llm.shared import M1, M2, by_bucket, column, found, give_back, mixed, owned, received, shared_keys
 
 #: Coordinates of a point.
 COORDINATES = 32
@@ -55,7 +55,8 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     bounds = np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])
     total = h.copy()
     for k in range(1, width):
-        total[: len(h) - k] = mixed(total[: len(h) - k] * M1) + h[k:]
+        left = max(0, len(h) - k)
+        total[:left] = mixed(total[:left] * M1) + h[k:]
     total = mixed(total * M2 + np.uint64(width))
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -272,20 +273,21 @@ KIND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()
 KIND_DDL = "kind int, doc_id long, n long, node long, bucket long, data binary"
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, over: int = 90, of: int = 100, slab_bytes: int = 2 << 20, tile: int = 4_000_000) -> DataFrame:
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, over: int = 90, of: int = 100, slab_bytes: int = 1 << 20, tile: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when of * intersection >= over * union of their sets of distinct word shingles (A-Z lowered,
     words between ASCII white space); component_id is the smallest doc_id reachable by links. Null and
     empty texts have no shingles and link with nothing; texts shorter than the width are one shingle; equal
-    texts and repeated rows share a component; an empty table gives an empty result. Slabs and tiles
+    texts and repeated rows share a component; an empty table gives an empty result; rows
+    without an id have no row in it. Slabs and tiles
     bound what a task holds; the number of both follows the input. A candidate component of more than `tile` hashes is cut
     into parts, and each pair of parts is a group of its own.
     """
     threshold = Threshold(over, of)
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col).filter("doc_id is not null")
     n_slabs = slabs_for(rows, slab_bytes)
-    n_buckets = max(64, n_slabs // 4)
+    n_buckets = max(64, n_slabs // 8)
     slabs = rows.withColumn("slab", slab(n_slabs))
 
     def keys_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -297,6 +299,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not part.num_rows:
             return KIND.empty_table()
         own = Classes(part, width)
+        give_back()
         sigs, of_class = own.signatures(threshold)
         hit, _ = found(sigs, received(flags)[0])
         sigs, of_class = sigs[hit], of_class[hit]
@@ -313,6 +316,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     all_rows = cut(slabs.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(members, KIND_DDL))
     def blocks(part: pa.Table) -> pa.Table:
+        give_back()
         packed = unpacked_rows(column(part, "data"))
         packed = packed[np.argsort(packed["sig"], kind="stable")]
         joined = Joined()
@@ -345,6 +349,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not part.num_rows or not wanted.num_rows:
             return set_kind.empty_table()
         own = Classes(part, width)
+        give_back()
         place = {node: (c, p) for node, c, p in zip(column(wanted, "node"), column(wanted, "component"), column(wanted, "parts"), strict=True)}
         out = []
         for node, s in zip(own.nodes, own.sets, strict=True):
@@ -360,6 +365,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = slabs.groupBy("slab").cogroup(places.groupBy("slab")).applyInArrow(placed, "g long, i int, j int, component long, node long, data binary")
 
     def verified(part: pa.Table) -> pa.Table:
+        give_back()
         nodes, of_component = np.array(column(part, "node"), np.int64), np.array(column(part, "component"), np.int64)
         data = part.column("data")
         joined = Joined()
@@ -392,8 +398,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents whose id is their class's smallest, with all their columns."""
-    gone = similarity_classes(docs, id_col, text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return without(docs, similarity_classes(docs, id_col, text_col, **options).filter("doc_id <> component_id").select("doc_id"), id_col)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ at most once from each slab, however many rows hold it, so a hot key is no hot g
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -46,6 +47,13 @@ def owned(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[fresh], np.add.reduceat(own.astype(np.uint32), np.flatnonzero(fresh))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are reused, and what they hold on to counts for their executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def column(table: pa.Table, name: str) -> list:
     return table.column(name).to_pylist()
 
@@ -61,6 +69,7 @@ def shared_keys(slabs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray
     def send(table: pa.Table) -> pa.Table:
         own = table.column("slab")[0].as_py()
         keys, owners = keys_of(table)
+        give_back()
         rows = []
         for b, at in by_bucket(keys, n_buckets):
             one = owners[at] == 1
@@ -71,6 +80,7 @@ def shared_keys(slabs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray
     back = pa.schema([("slab", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
+        give_back()
         lists = [np.frombuffer(x, np.uint64) for x in column(table, "keys")]
         counts = [np.frombuffer(x, np.uint32) if x else np.ones(len(k), np.uint32) for x, k in zip(column(table, "owners"), lists, strict=True)]
         keys, count = np.concatenate(lists), np.concatenate(counts).astype(np.int64)

@@ -126,12 +126,13 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of the removed runs.
 
     Texts are UTF-8 bytes, null is empty, matches never cross documents; texts shorter than `length` keep all.
-    Rows that share a doc_id are judged each, and none is earlier than another. Strings are judged on the input, not on
+    Rows that share a doc_id are judged each, and none is earlier than another; rows
+    without an id have no row in the result. Strings are judged on the input, not on
     what is left. Texts move once, into slabs; a string that many documents hold goes on once from each
     slab, as the slab itself removes its later copies; where `hot` documents share a gram, windows are dealt out by
     their own content, not by the gram, so that the contexts of a common line don't meet in one task.
     """
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col).filter("doc_id is not null")
     n_slabs = slabs_for(rows, slab_bytes)
     n_buckets = max(64, n_slabs // 2)
     slabs = rows.select("doc_id", F.col("text").cast("binary").alias("raw")).withColumn("slab", slab(n_slabs))
