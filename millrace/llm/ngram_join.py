@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, slab, slabs_for, split_join, table, texts, without
 from millrace.llm.components import components
-from millrace.llm.shared import M1, M2, by_bucket, column, found, give_back, mixed, owned, received, shared_keys
+from millrace.llm.shared import KEY, M1, M2, by_bucket, column, found, give_back, mixed, owned, received, shared_keys
 
-#: Coordinates of a point.
+#: Coordinates of a point, at least.
 COORDINATES = 32
 
 
@@ -110,9 +110,9 @@ class Threshold:
         spare = -(-k * 3 // 20)
         return k + 1 + spare, spare
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """A hash of each group's elements, in each tier."""
-        out = []
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each kept group's elements, in each tier, and the number of coordinates that the tier's points have."""
+        out, coordinates = [], []
         # Groups are ranges of the hash, and the set is sorted, so a group's elements are neighbours.
         total = np.zeros(len(s) + 1, np.uint64)
         np.cumsum(mixed(s ^ M2), out=total[1:])
@@ -123,8 +123,17 @@ class Threshold:
             ends = total[at]
             sums, sizes = ends[1:] - ends[:-1], at[1:] - at[:-1]
             kept = sizes >= np.partition(sizes, spare)[spare]
-            out.append(mixed(sums[kept] + names[kept]))
-        return np.concatenate(out)
+            out.append(mixed(sums[kept] + names[kept]) & KEY)
+            coordinates.append(np.full(len(out[-1]), self.coordinates(int(self.bounds[tier + 1]))))
+        return np.concatenate(out), np.concatenate(coordinates)
+
+    def coordinates(self, n: int) -> int:
+        """How many coordinates part unrelated sets of size n: their counts then differ by more than linked ones may."""
+        wanted = 1.5 * (2.3 * (self.of - self.over) / (self.of + self.over)) ** 2 * n
+        d = COORDINATES
+        while d < wanted and d < 4096:
+            d *= 2
+        return d
 
     @lru_cache(maxsize=None)  # noqa: B019  one entry for each tier
     def ranges(self, tier: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -134,8 +143,8 @@ class Threshold:
         return edges, mixed(np.arange(d, dtype=np.uint64) * M2 + np.uint64(tier)), spare
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((mixed(s ^ M2) >> np.uint64(40)).astype(np.int64) % COORDINATES, minlength=COORDINATES), 65535).astype(np.uint16)
+def point(s: np.ndarray, coordinates: int) -> np.ndarray:
+    return np.minimum(np.bincount((mixed(s ^ M2) >> np.uint64(40)).astype(np.int64) % coordinates, minlength=coordinates), 65535).astype(np.uint16)
 
 
 class Tree:
@@ -239,15 +248,16 @@ class Classes:
                 self.nodes.append(int(ids[k]))
             self.docs.append((int(ids[k]), len(s), self.nodes[c]))
 
-    def signatures(self, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
-        """All signatures, and the class of each."""
+    def signatures(self, threshold: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All signatures, the class of each, and its number of coordinates."""
         parts = [threshold.signatures(s) for s in self.sets]
         if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-ROW = np.dtype([("sig", "<u8"), ("node", "<i8"), ("n", "<i8"), ("point", "<u2", (COORDINATES,))])
+def row(coordinates: int) -> np.dtype:
+    return np.dtype([("sig", "<u8"), ("node", "<i8"), ("n", "<i8"), ("point", "<u2", (coordinates,))])
 
 
 def packed_rows(rows: np.ndarray) -> bytes:
@@ -256,15 +266,15 @@ def packed_rows(rows: np.ndarray) -> bytes:
     return len(rows).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unpacked_rows(blobs: list[bytes]) -> np.ndarray:
+def unpacked_rows(blobs: list[bytes], coordinates: int) -> np.ndarray:
     parts = []
     for blob in blobs:
         k = int.from_bytes(blob[:4], "little")
-        raw = pa.decompress(blob[4:], k * (20 + 2 * COORDINATES), "zstd", asbytes=True)
-        rows = np.empty(k, ROW)
+        raw = pa.decompress(blob[4:], k * (20 + 2 * coordinates), "zstd", asbytes=True)
+        rows = np.empty(k, row(coordinates))
         rows["sig"], rows["node"] = np.frombuffer(raw, "<u8", k), np.frombuffer(raw, "<i8", k, 8 * k)
         rows["n"] = np.frombuffer(raw, "<u4", k, 16 * k)
-        rows["point"] = np.frombuffer(raw, "<u2", k * COORDINATES, 20 * k).reshape(COORDINATES, k).T
+        rows["point"] = np.frombuffer(raw, "<u2", k * coordinates, 20 * k).reshape(coordinates, k).T
         parts.append(rows)
     return np.concatenate(parts)
 
@@ -273,7 +283,7 @@ KIND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()
 KIND_DDL = "kind int, doc_id long, n long, node long, bucket long, data binary"
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, over: int = 90, of: int = 100, slab_bytes: int = 1 << 20, tile: int = 1_000_000) -> DataFrame:
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, over: int = 90, of: int = 100, slab_bytes: int = 1 << 20, tile: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when of * intersection >= over * union of their sets of distinct word shingles (A-Z lowered,
@@ -291,7 +301,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slabs = rows.withColumn("slab", slab(n_slabs))
 
     def keys_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return owned(*Classes(part, width).signatures(threshold))
+        return owned(*Classes(part, width).signatures(threshold)[:2])
 
     shared = shared_keys(slabs, keys_of, n_buckets)
 
@@ -300,26 +310,34 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return KIND.empty_table()
         own = Classes(part, width)
         give_back()
-        sigs, of_class = own.signatures(threshold)
+        sigs, of_class, coordinates = own.signatures(threshold)
         hit, _ = found(sigs, received(flags)[0])
-        sigs, of_class = sigs[hit], of_class[hit]
+        sigs, of_class, coordinates = sigs[hit], of_class[hit], coordinates[hit]
         out = [(0, d, n, node, 0, None) for d, n, node in own.docs]
-        chosen = np.unique(of_class)
-        points = {int(c): point(own.sets[c]) for c in chosen}
-        for b, at in by_bucket(sigs, n_buckets):
-            packed = np.zeros(len(at), ROW)
-            packed["sig"] = sigs[at]
-            for k, c in enumerate(of_class[at].tolist()):
-                packed["node"][k], packed["n"][k], packed["point"][k] = own.nodes[c], len(own.sets[c]), points[c]
-            out.append((1, 0, 0, 0, b, packed_rows(packed[np.argsort(packed["node"], kind="stable")])))
+        for size in np.unique(coordinates).tolist():
+            some = coordinates == size
+            chosen, where = np.unique(of_class[some], return_inverse=True)
+            rows = np.zeros(int(some.sum()), row(size))
+            rows["sig"] = sigs[some]
+            rows["node"] = np.array(own.nodes, np.int64)[chosen][where]
+            rows["n"] = np.array([len(own.sets[c]) for c in chosen.tolist()])[where]
+            rows["point"] = np.stack([point(own.sets[c], size) for c in chosen.tolist()])[where]
+            out += [(1, 0, size, 0, b, packed_rows(rows[at])) for b, at in by_bucket(rows["sig"], n_buckets)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), KIND, strict=True)], schema=KIND)
 
     all_rows = cut(slabs.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(members, KIND_DDL))
     def blocks(part: pa.Table) -> pa.Table:
         give_back()
-        packed = unpacked_rows(column(part, "data"))
-        packed = packed[np.argsort(packed["sig"], kind="stable")]
         joined = Joined()
+        blobs: dict[int, list[bytes]] = {}
+        for size, blob in zip(column(part, "n"), column(part, "data"), strict=True):
+            blobs.setdefault(size, []).append(blob)
+        for size, some in blobs.items():
+            join_blocks(unpacked_rows(some, size), joined)
+        return joined.edges()
+
+    def join_blocks(packed: np.ndarray, joined: Joined) -> None:
+        packed = packed[np.argsort(packed["sig"], kind="stable")]
         starts = np.flatnonzero(np.r_[True, packed["sig"][1:] != packed["sig"][:-1]])
         sizes = np.diff(np.r_[starts, len(packed)])
         # Blocks of two are many and need no tree: all their bounds at once.
@@ -334,9 +352,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not joined.all_one(nodes):
                 for i, j in forest(block["point"], block["n"], threshold):
                     joined.add(nodes[i], nodes[j])
-        return joined.edges()
 
-    candidates = all_rows.filter("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(blocks, "u long, v long")
+    candidates = all_rows.filter("kind = 1").select("bucket", "n", "data").groupBy("bucket").applyInArrow(blocks, "u long, v long")
     grouped = components(candidates)
     # Where each set goes is settled on its size alone; only sets of candidate components are then taken from the slabs.
     sizes = split_join(all_rows.filter("kind = 0 and doc_id = node").select("node", "n").distinct(), grouped, ["node"], "inner")
@@ -375,6 +392,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 continue
             own_sets = [np.frombuffer(data[k].as_buffer(), np.uint64) for k in group.tolist()]
             sizes = np.array([len(s) for s in own_sets])
+            coordinates = threshold.coordinates(int(sizes.max()))
             starts = np.r_[0, np.cumsum(sizes)]
             _, dense = np.unique(np.concatenate(own_sets), return_inverse=True)
             mark = np.zeros(int(dense.max()) + 1, bool)
@@ -386,7 +404,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 mark[mine] = False
                 return of * overlap >= over * (sizes[i] + sizes[among] - overlap)
 
-            for i, j in forest(np.stack([point(s) for s in own_sets]), sizes, threshold, verify):
+            for i, j in forest(np.stack([point(s, coordinates) for s in own_sets]), sizes, threshold, verify):
                 joined.add(int(nodes[group[i]]), int(nodes[group[j]]))
         return joined.edges()
 

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Keys are this wide: two different things that share a key by chance only cost a comparison later.
+KEY = np.uint64((1 << 48) - 1)
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -54,6 +56,17 @@ def give_back() -> None:
         trim(0)
 
 
+def short(keys: np.ndarray) -> bytes:
+    """Keys of 48 bits as six bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def column(table: pa.Table, name: str) -> list:
     return table.column(name).to_pylist()
 
@@ -61,7 +74,7 @@ def column(table: pa.Table, name: str) -> list:
 def shared_keys(slabs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n_buckets: int, hot: int = 1000) -> DataFrame:
     """(slab, keys binary, hot binary): each slab's keys with two owners or more anywhere.
 
-    keys_of gives a slab's distinct keys and how many owners each has there; owners of different
+    keys_of gives a slab's distinct keys, of 48 bits, and how many owners each has there; owners of different
     slabs count as different. hot tells which keys have at least that many.
     """
     kind = pa.schema([("bucket", pa.int32()), ("slab", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
@@ -73,15 +86,15 @@ def shared_keys(slabs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray
         rows = []
         for b, at in by_bucket(keys, n_buckets):
             one = owners[at] == 1
-            rows += [(b, own, keys[at[one]].tobytes(), b"")] * bool(one.any())
-            rows += [(b, own, keys[at[~one]].tobytes(), owners[at[~one]].astype(np.uint32).tobytes())] * bool((~one).any())
+            rows += [(b, own, short(keys[at[one]]), b"")] * bool(one.any())
+            rows += [(b, own, short(keys[at[~one]]), owners[at[~one]].astype(np.uint32).tobytes())] * bool((~one).any())
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
 
     back = pa.schema([("slab", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
         give_back()
-        lists = [np.frombuffer(x, np.uint64) for x in column(table, "keys")]
+        lists = [long(x) for x in column(table, "keys")]
         counts = [np.frombuffer(x, np.uint32) if x else np.ones(len(k), np.uint32) for x, k in zip(column(table, "owners"), lists, strict=True)]
         keys, count = np.concatenate(lists), np.concatenate(counts).astype(np.int64)
         slab = np.repeat(np.array(column(table, "slab"), np.int64), [len(x) for x in lists])
@@ -95,7 +108,7 @@ def shared_keys(slabs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray
         keys, slab, often = keys[order], slab[order], often[order]
         parts = np.split(np.arange(len(keys)), np.flatnonzero(np.diff(slab)) + 1) if len(keys) else []
         return pa.Table.from_arrays(
-            [pa.array([int(slab[p[0]]) for p in parts], pa.int32()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([often[p].tobytes() for p in parts], pa.binary())], schema=back
+            [pa.array([int(slab[p[0]]) for p in parts], pa.int32()), pa.array([short(keys[p]) for p in parts], pa.binary()), pa.array([often[p].tobytes() for p in parts], pa.binary())], schema=back
         )
 
     sent = slabs.groupBy("slab").applyInArrow(send, "bucket int, slab int, keys binary, owners binary")
@@ -104,7 +117,7 @@ def shared_keys(slabs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray
 
 def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A slab's shared keys, sorted, and which of them are hot."""
-    keys = np.frombuffer(b"".join(column(table, "keys")), np.uint64)
+    keys = long(b"".join(column(table, "keys")))
     hot = np.frombuffer(b"".join(column(table, "hot")), np.bool_)
     order = np.argsort(keys, kind="stable")
     return keys[order], hot[order]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slab, slabs_for, table, texts
-from millrace.llm.shared import M1, M2, bucket_of, column, found, mixed, owned, received, shared_keys
+from millrace.llm.shared import KEY, M1, M2, bucket_of, column, found, mixed, owned, received, shared_keys
 
 GRAM = 16
 CHUNK = 1 << 17
@@ -87,7 +87,7 @@ class Slab:
             return np.zeros(0, np.uint64)
         index = grams[:, None] + np.arange(GRAM)
         words = np.ascontiguousarray(self.bytes[index]).view(np.uint64).reshape(-1, GRAM // 8)
-        return mixed(mixed(words[:, 0] * M1) + words[:, 1])
+        return mixed(mixed(words[:, 0] * M1) + words[:, 1]) & KEY
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, "right")
