@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.merges import keyed_merge
 from millrace.plans.projections import table
+from millrace.session import ship
 from millrace.streaming.events import shared_folder
 
 
@@ -104,6 +105,7 @@ def visible(html: str | None) -> str:
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, text) by an HTML reader in Arrow batches, as no built-in function parses HTML."""
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
