@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import SPACES, cut, table
+from millrace.session import ship
 
 SYMBOLS = "#*$%&|<>"
 #: The statistics of a row, already transformed, and the least spread that each is judged by: a statistic that
@@ -55,6 +56,7 @@ def statistics(text: str) -> tuple:
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang, source, the five base counts, base_failed and the transformed statistics."""
+    ship(docs.sparkSession)
     lacking = [F.lit(None).cast("string").alias(c) for c in ("lang", "source") if c not in docs.columns]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("string") for c in ("lang", "source") if c in docs.columns], *lacking, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
