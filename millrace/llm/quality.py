@@ -1,7 +1,7 @@
 """Quality rules: a base rule, then robust multivariate outliers per language and source.
 
-Minimum covariance determinant: from a robust start, concentration steps each keep the half of a group's rows
-with the smallest Mahalanobis distance and estimate mean and covariance from them again. The rows stay in a
+Minimum covariance determinant: from a robust start, concentration steps each keep three quarters of a group's rows, those
+with the smallest Mahalanobis distance, and estimate mean and covariance from them again. The rows stay in a
 DataFrame; a step is two grouped sums.
 """
 
@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, cut, table
+from millrace.llm.common import SPACES, cut, split_join, table
 from millrace.session import ship
 
 SYMBOLS = "#*$%&|<>"
@@ -25,7 +25,10 @@ FEATURES = {"log_words": 0.5, "word_length": 0.5, "symbols": 0.01, "capitals": 0
 #: Of the squared distance: the chi-square distribution with 7 degrees passes it once in about 30 million rows.
 CUTOFF = 48.0
 #: Distances are counted in bins of their logarithm: every row counts, and partial counts are small.
-BINS, STEPS, HALF = 512, 3, 0.75
+BINS, STEPS, SHARE = 512, 3, 0.75
+
+#: Where the start draws values in: rates that readable text doesn't pass.
+BOUNDS = {"log_words": (3.0, 9.0), "word_length": (2.0, 12.0), "symbols": (0.0, 0.02), "capitals": (0.0, 0.1), "marks": (0.0, 0.1), "repeats": (0.0, 0.3), "same_lines": (0.0, 0.3)}
 
 
 def statistics(text: str) -> tuple:
@@ -114,16 +117,11 @@ def _distance() -> Column:
 
 def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """rows with d2; estimates has a row per group and is broadcast by Spark if it proves small, else hot groups are split."""
-    from millrace.llm.common import split_join
-
     return split_join(rows, estimates, ["lang", "source"]).withColumn("d2", _distance()).drop("mean", "inverse")
 
 
 def _concentrated(rows: DataFrame, share: float) -> DataFrame:
     """The share of each group's rows with the smallest d2, to a bin; counts by bin are exact and small."""
-    from millrace.llm.common import split_join
-    from pyspark.sql import Window
-
     bins = rows.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log1p("d2") * 32).cast("int")))
     counts = bins.groupBy("lang", "source", "bin").agg(F.count(F.lit(1)).alias("c"))
     per = Window.partitionBy("lang", "source")
@@ -132,7 +130,7 @@ def _concentrated(rows: DataFrame, share: float) -> DataFrame:
     return split_join(bins, last, ["lang", "source"]).filter("bin <= last").drop("bin", "last", "d2")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, steps: int = STEPS, share: float = HALF) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, steps: int = STEPS, share: float = SHARE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     A row that fails the base rule (fewer than 50 words, or over half of them in repeated 3-word windows) goes;
@@ -142,8 +140,6 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuto
     null or empty text has no words and fails; repeated rows are judged alike; a group whose rows all failed
     has no estimates and keeps nothing else to judge.
     """
-    from millrace.llm.common import split_join
-
     rows = cut(with_statistics(docs, id_col, text_col))
     good = rows.filter(~F.col("base_failed")).select("lang", "source", *FEATURES)
     # Start: location and spread per group after values beyond fixed bounds are drawn in, so that no row weighs much.
@@ -156,9 +152,6 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuto
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
 
 
-#: Where the start draws values in: rates that readable text doesn't pass.
-BOUNDS = {"log_words": (3.0, 9.0), "word_length": (2.0, 12.0), "symbols": (0.0, 0.02), "capitals": (0.0, 0.1), "marks": (0.0, 0.1), "repeats": (0.0, 0.3), "same_lines": (0.0, 0.3)}
-
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
