@@ -38,12 +38,14 @@ class Words(dict):
         if len(self) > 400_000:
             self.clear()
         low = word.lower().rstrip("!*")
-        plain = re.sub(r"[^a-zà-ÿ]", "", low.translate(LEET))
-        odd = any(c in low for c in "@$!*") or bool(re.search(r"[^\W\d_]\d+[^\W\d_]", low))
-        weight = self.lexicon.get(low, 0.0) or (self.lexicon.get(plain, 0.0) if odd else 0.0)
-        self[word] = bits = (
-            (low in self.lexicon) + 2 * (low[:STEM] in self.stems) + 4 * (odd and plain in self.lexicon) + 8 * (low in YOU) + 16 * odd + (min(255, int(weight * 16)) << 8)
-        )
+        plain, odd = low, False
+        if not low.isalpha():
+            plain = re.sub(r"[^a-zà-ÿ]", "", low.translate(LEET))
+            odd = any(c in low for c in "@$!*") or bool(re.search(r"[^\W\d_]\d+[^\W\d_]", low))
+        listed = low in self.lexicon
+        disguised = odd and plain in self.lexicon
+        weight = self.lexicon[low] if listed else self.lexicon[plain] if disguised else 0.0
+        self[word] = bits = listed + 2 * (low[:STEM] in self.stems) + 4 * disguised + 8 * (low in YOU) + 16 * odd + (min(255, int(weight * 16)) << 8)
         return bits
 
 
