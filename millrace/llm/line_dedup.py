@@ -19,7 +19,7 @@ PARAGRAPHS = r"(?:[^\n]|\n(?!\n))+\n*|\n+"
 UNITS = {"sentence": SENTENCES, "line": LINES, "paragraph": PARAGRAPHS}
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", least_words: int = 8) -> DataFrame:
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", least_words: int = 1) -> DataFrame:
     """(doc_id, unit, start, length, digest): units of at least least_words words, offsets in code points.
 
     The digest is of the normalised unit: A-Z lowered, words joined by one space.
@@ -47,9 +47,9 @@ def repeated_units(docs: DataFrame, **options) -> DataFrame:
     """One row per unit to remove: doc_id, unit, start, length, first_doc_id, first_unit, copies.
 
     Of units with equal normalised words the one of the smallest (doc_id, unit) stays. Digests are counted with partial
-    sums, only those that occur again are joined back, and a very common unit's rows are split over tasks. A unit
-    of fewer than least_words words is never removed; null and empty texts have none; repeated rows of
-    one document compare by unit number, so that an exact repeat of a row stays as it is the same place; an
+    sums, only those that occur again are joined back, and a very common unit's rows are split over tasks. Every unit
+    with a word counts, so that a passage of short lines goes too; least_words spares shorter ones where a caller
+    wants that; null and empty texts have none; repeated rows of one document compare by unit number, so that an exact repeat of a row stays as it is the same place; an
     empty table gives an empty result.
     """
     rows = units(docs, **options)
