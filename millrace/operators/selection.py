@@ -158,11 +158,11 @@ def q_f15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_f16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by attempt budget or cool-down that have not expired, never-checked first."""
+    """All candidates by attempt budget or cool-down that have not expired, never-checked first."""
     rows = scores(spark, sf_dir).join(table(spark, sf_dir, "supplier"), F.col("company_id") == F.col("s_suppkey"), "left")
     checked = F.when(F.col("skills_match") > 2, F.col("scored_at"))
     ok = ((F.col("title_fit") < 3) | (F.col("scored_at") < as_of() - F.expr("interval 30 days"))) & (F.col("s_acctbal") > 0)
-    return rows.filter(ok).select("listing_id", checked.alias("checked_at")).orderBy(F.asc_nulls_first("checked_at"), "listing_id").limit(500)
+    return rows.filter(ok).select("listing_id", checked.alias("checked_at")).orderBy(F.asc_nulls_first("checked_at"), "listing_id")
 
 
 def q_f18(spark: SparkSession, sf_dir: str) -> DataFrame:

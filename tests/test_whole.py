@@ -7,7 +7,7 @@ from test_queries import SF, duck, rows  # noqa: F401
 
 from millrace.plans import registry
 
-CUTS = {"S11_export": " where c_custkey % 50 = 3"}
+CUTS = {"S11_export": " where c_custkey % 50 = 3", "F16_candidates": " limit 500"}
 
 
 @pytest.mark.parametrize("name", CUTS)
