@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, ngram_join, pieces, quality
-from millrace.llm.common import cut, table, without
+from millrace.llm.common import cut, row_key, table, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return without(docs, quality.judged(docs).filter(~F.col("kept")).select("doc_id"), "doc_id")
+    return without(docs, quality.judged(docs.withColumn("_row", row_key(docs)), id_col="_row").filter(~F.col("kept")).select("doc_id"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,15 +31,34 @@ def packed(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 1_000_000) -> DataFrame:
-    """The documents whose id isn't in the one column of ids; rows with a null id stay.
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of the whole row, nulls in their places: what a row is named by where ids are null or repeated."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
 
-    The ids are counted: up to `most` of them (16 MB) go to every task and no document moves; more are joined by id.
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """(k, r): the row's key, and the whole row as one struct."""
+    return docs.select(row_key(docs).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+
+
+def without(docs: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The documents whose row key isn't in the one column of gone, equal rows once.
+
+    The keys are counted: up to `most` of them (16 MB) go to every task and no document moves; more are joined by
+    key. Only rows that occur again in every column are gathered, by partial aggregates.
     """
-    gone = cut(ids.toDF("k").distinct())
-    if gone.count() <= most:
-        gone = F.broadcast(gone)
-    return packed(docs, id_col).join(gone, "k", "left_anti").select("r.*")
+    def few(keys: DataFrame) -> tuple[DataFrame, int]:
+        keys = cut(keys.toDF("k").distinct())
+        n = keys.count()
+        return (F.broadcast(keys) if n <= most else keys), n
+
+    again, n_again = few(docs.select(row_key(docs).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"))
+    rows = by_row(docs).join(few(gone)[0], "k", "left_anti")
+    if not n_again:
+        return rows.select("r.*")
+    several = rows.join(again, "k", "left_semi").groupBy("k").agg(F.first("r").alias("r"))
+    return rows.join(again, "k", "left_anti").unionByName(several).select("r.*")
 
 
 def slabs_for(docs: DataFrame, slab_bytes: int, least: int = 64) -> int:

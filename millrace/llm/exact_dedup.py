@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import split_join, table, texts, without
+from millrace.llm.common import row_key, split_join, table, texts, without
 
 
 def squeezed(text: Column) -> Column:
@@ -49,8 +49,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    return without(docs, exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id"), id_col)
+    """The documents that stay, with all their columns: of equal texts one row, also where ids are null or repeated.
+
+    The row is chosen as by exact_groups, a null id last; among rows of one id and length the row key decides.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(
+        row_key(docs).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.char_length(text).alias("chars"), F.sha2(squeezed(text).cast("binary"), 256).alias("text_sha256")
+    )
+    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("neg"), "row")).getField("row")
+    groups = rows.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return without(docs, split_join(rows, groups, ["text_sha256"], "inner").filter("row <> best").select("row"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

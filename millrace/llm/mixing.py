@@ -49,20 +49,26 @@ def mix_rates(docs: DataFrame, text_col: str = "text", source_col: str = "source
     has target 0 and no copies. Rates are target / source_size; a document is taken floor(rate) times
     and once more if its draw is below the fraction. Reruns agree, repeated ids draw alike.
     """
+    return _rated(docs, text_col, source_col, id_col, weights, total, most).drop("source")
+
+
+def _rated(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
     sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     out = split_join(sizes, source_targets(sizes, weights, total, most), ["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (draw() < rate - F.floor(rate)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), "source")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns.
 
-    Only ids and counts are joined with the texts; a document taken no time goes.
+    Only ids, sources and counts are joined with the texts, nulls with nulls; id and source decide how often a row is
+    taken, so repeated ids go by each row's own source. A document taken no time goes.
     """
-    copies = mix_rates(docs, **options).select(F.col("doc_id").alias("k"), "copies").filter("copies > 0").groupBy("k").agg(F.max("copies").cast("int").alias("copies"))
-    joined = packed(docs, options.get("id_col", "doc_id")).join(copies, "k")
+    copies = _rated(docs, **options).select(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("copies").cast("int").alias("copies")).filter("copies > 0").distinct()
+    rows = packed(docs, options.get("id_col", "doc_id")).withColumn("s", F.col("r").getField(options.get("source_col", "source")).cast("string"))
+    joined = split_join(rows, copies, ["k", "s"], "inner")
     return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("r.*")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, slab, slabs_for, split_join, table, texts, without
+from millrace.llm.common import cut, row_key, slab, slabs_for, split_join, table, texts, without
 from millrace.llm.components import components
 from millrace.llm.shared import KEY, M1, M2, by_bucket, column, found, give_back, mixed, owned, received, shared_keys
 
@@ -372,11 +372,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for node, s in zip(own.nodes, own.sets, strict=True):
             if node in place:
                 c, p = place[node]
-                mine = int(mixed(np.array([node], np.uint64))[0]) % p
+                mine = int(mixed(np.array([node], np.int64).astype(np.uint64))[0]) % p
                 for k in range(p) if p > 1 else ():
                     out.append((c, min(k, mine), max(k, mine), c, node, s.tobytes()))
                 if p == 1:
-                    out.append((int(mixed(np.array([c], np.uint64))[0]) % n_groups, -1, -1, c, node, s.tobytes()))
+                    out.append((int(mixed(np.array([c], np.int64).astype(np.uint64))[0]) % n_groups, -1, -1, c, node, s.tobytes()))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), set_kind, strict=True)], schema=set_kind) if out else set_kind.empty_table()
 
     sets = slabs.groupBy("slab").cogroup(places.groupBy("slab")).applyInArrow(placed, "g long, i int, j int, component long, node long, data binary")
@@ -415,8 +415,13 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id is their class's smallest, with all their columns."""
-    return without(docs, similarity_classes(docs, id_col, text_col, **options).filter("doc_id <> component_id").select("doc_id"), id_col)
+    """The row of each class with the smallest id, a null id last, with all its columns; rows are judged, not ids."""
+    rows = docs.select(row_key(docs).alias("doc_id"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    classes = similarity_classes(rows, **options).select("doc_id", "component_id")
+    named = cut(split_join(classes, rows.select("doc_id", "id").distinct(), ["doc_id"], "inner"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).getField("doc_id")
+    groups = named.groupBy("component_id").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return without(docs, split_join(named, groups, ["component_id"], "inner").filter("doc_id <> best").select("doc_id"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, text with surrogates, n_entities, kinds.
 
     Texts without an entity never move; those with one are joined with their own few replacements by
-    id. A null text stays null with no entities; empty texts stay; repeated rows are replaced alike, even
+    id and a hash of the text, nulls with nulls. A null text stays null with no entities; empty texts stay; repeated rows are replaced alike, even
     with different texts under one id, as replacements go by mention; an empty table gives an empty result. The same entity gets the same
     surrogate in all documents, and different entities different ones. The key is a parameter of the
     run: who has it can repeat the mapping.
@@ -133,16 +133,15 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
-    some = rows.filter(F.size("found") > 0)
-    mentions = some.select("doc_id", F.explode(F.array_distinct("found")).alias("mention"))
+    some = rows.filter(F.size("found") > 0).withColumn("key", F.xxhash64("text"))
+    mentions = some.select("doc_id", "key", F.explode(F.array_distinct("found")).alias("mention"))
     mentions = mentions.withColumn("kind", _kind(F.col("mention"))).withColumn("canon", _canon(F.col("kind"), F.col("mention")))
     mentions = cut(mentions.distinct())
     mapped = split_join(mentions, entity_map(mentions, secret), ["kind", "canon"])
     title = F.when(F.col("kind") == "name", F.regexp_extract("mention", "^[^ ]+ ", 0)).otherwise(F.lit(""))
-    pairs = mapped.select("doc_id", "kind", F.struct("mention", F.concat(title, "surrogate").alias("to")).alias("pair"))
-    per = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_set("pair")).alias("to"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    texts = some.select(F.col("doc_id").alias("_id"), "text", "found")
-    joined = texts.join(per, F.col("_id") == F.col("doc_id"))
+    pairs = mapped.select("doc_id", "key", "kind", F.struct("mention", F.concat(title, "surrogate").alias("to")).alias("pair"))
+    per = pairs.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set("pair")).alias("to"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    joined = split_join(some, per, ["doc_id", "key"], "inner")
     gaps = F.split("text", ENTITY, -1)
     put = F.concat(F.transform("found", lambda e: F.element_at("to", e)), F.array(F.lit("")))
     changed = joined.select("doc_id", F.array_join(F.zip_with(gaps, put, lambda a, b: F.concat(a, b)), "").alias("text"), F.size("found").cast("long").alias("n_entities"), "kinds")
