@@ -42,11 +42,11 @@ def by_row(docs: DataFrame) -> DataFrame:
     return docs.select(row_key(docs).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
 
 
-def without(docs: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, most: int = 500_000) -> DataFrame:
     """The documents whose row key isn't in the one column of gone, equal rows once.
 
-    The keys are counted: up to `most` of them (16 MB) go to every task and no document moves; more are joined by
-    key. Only rows that occur again in every column are gathered, by partial aggregates.
+    The keys are counted: up to `most` of them (two longs a key at most half full, so 16 MB) go to every task and no
+    document moves; more are joined by key. Only rows that occur again in every column are gathered, by partial aggregates.
     """
     def few(keys: DataFrame) -> tuple[DataFrame, int]:
         keys = cut(keys.toDF("k").distinct())
@@ -72,10 +72,13 @@ def slab(n: int, column: str = "doc_id") -> Column:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) take a local folder."""
+    """Use the cluster's spark.checkpoint.dir; where it is unset a local master takes a local folder, a cluster fails."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
