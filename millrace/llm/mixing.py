@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, packed, split_join, table
+from millrace.llm.common import WORD, cut, packed, split_join, table
 
 WEIGHTS = (3, 1, 2)
 SEED = "mix-1:"
@@ -23,7 +23,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     Sources by code point, nulls last, get the weights in turn and share total times all sizes. No
     target exceeds most times its source's size; what is above is shared again by weight until none is. That
     is min(cap, level * weight) for one level, found by running sums in the order of cap / weight.
-    The table has one row per source, so its ordering in one task is as small as the list of sources.
+    The table has one row per source, so its ordering in one task is as small as the list of sources: some hundred bytes
+    a source, tested with 100,000 of them.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.array(*[F.lit(w) for w in weights])
@@ -42,34 +43,47 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     return per.select("source", "source_size", share.alias("target"))
 
 
+def _sizes(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, source, size in words)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+
+
+def _copies(id_col: str) -> Column:
+    """floor(rate) and one more if the draw is below the fraction."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return F.floor(rate) + (draw(id_col) < rate - F.floor(rate)).cast("long")
+
+
 def mix_rates(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies.
 
     Size counts words; null texts have none, a null source is a source of its own, a source without words
     has target 0 and no copies. Rates are target / source_size; a document is taken floor(rate) times
-    and once more if its draw is below the fraction. Reruns agree, repeated ids draw alike.
+    and once more if its draw is below the fraction. Reruns agree, repeated ids draw alike; a very long text counts
+    whole; an empty table gives an empty result; columns besides these three are ignored, whatever their names.
     """
-    return _rated(docs, text_col, source_col, id_col, weights, total, most).drop("source")
-
-
-def _rated(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = cut(_sizes(docs, text_col, source_col, id_col))
     out = split_join(sizes, source_targets(sizes, weights, total, most), ["source"])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw() < rate - F.floor(rate)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), "source")
+    return out.select("doc_id", "size", "source_size", "target", _copies("doc_id").alias("copies"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, most: int = 16 << 20, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns.
 
-    Only ids, sources and counts are joined with the texts, nulls with nulls; id and source decide how often a row is
-    taken, so repeated ids go by each row's own source. A document taken no time goes.
+    How often a row is taken depends on its source's rate and its id alone, so the rates (a row per source, broadcast while
+    they hold at most `most` bytes, else joined) meet the documents in their scan and no text moves. Null sources are a
+    source, null ids draw alike, null and empty texts count no words but are taken like their source's others;
+    repeated rows are taken alike; an empty table gives an empty result. A document taken no time goes.
     """
-    copies = _rated(docs, **options).select(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("copies").cast("int").alias("copies")).filter("copies > 0").distinct()
-    rows = packed(docs, options.get("id_col", "doc_id")).withColumn("s", F.col("r").getField(options.get("source_col", "source")).cast("string"))
-    joined = split_join(rows, copies, ["k", "s"], "inner")
-    return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("r.*")
+    rates = cut(source_targets(_sizes(docs, **{k: v for k, v in options.items() if k.endswith("_col")}), **{k: v for k, v in options.items() if not k.endswith("_col")}))
+    bytes_held = rates.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0
+    rows = packed(docs, options.get("id_col", "doc_id")).withColumn("source", F.col("r").getField(options.get("source_col", "source")).cast("string"))
+    if bytes_held <= most:
+        joined = rows.join(F.broadcast(rates.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "inner")
+    else:
+        joined = split_join(rows, rates, ["source"], "inner")
+    copies = _copies("k").cast("int")
+    return joined.select("r", copies.alias("copies")).filter("copies > 0").select("r", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("r.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
