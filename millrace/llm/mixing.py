@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     per = per.withColumns({
         "capped_before": F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-        "weight_left": F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)),
+        # As what is not before, since a frame that ends at the last row is summed anew for each row.
+        "weight_left": F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "budget": F.sum("source_size").over(Window.partitionBy()) * F.lit(total),
     })
     level = (F.col("budget") - F.col("capped_before")) / F.col("weight_left")
