@@ -1,10 +1,12 @@
 """Suffix-array dedup: later copies of long byte strings go, the first copy stays.
 
 A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller doc_id:
-that is where the longest previous factor of the string's start, among earlier documents, reaches `length`. Previous and
-next smaller positions in suffix order give it. Suffixes of all texts can't be sorted together, so each window of `length`
+that is where the longest previous factor of the string's start, among earlier documents, reaches `length`. In suffix order
+the nearest positions before and after that belong to a smaller document share the longest prefixes with it; the larger of the
+two common prefixes is the factor. Suffixes of all texts can't be sorted together, so each window of `length`
 bytes is sent to the bucket of its minimiser (the smallest hash of a short gram inside it), which equal windows
-share; of these only grams that several documents hold are followed, and the rest of the text never moves on.
+share; of these only grams that several documents hold are followed, and the rest of the text never moves on. Inside a bucket
+suffixes are ordered by their first `length` bytes, beyond which no factor needs to be known.
 """
 
 from __future__ import annotations
@@ -93,19 +95,63 @@ class Slab:
         return np.searchsorted(self.ends, at, "right")
 
 
-def previous(strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which strings have an equal one of a smaller document, by their order as suffixes cut at one length.
+def _table(values: np.ndarray) -> list[np.ndarray]:
+    """values' minima over spans of 1, 2, 4 ... positions, by first position."""
+    out = [values]
+    while 2 << len(out) - 1 <= len(values):
+        step = 1 << len(out) - 1
+        out.append(np.minimum(out[-1][:-step], out[-1][step:]))
+    return out
+
 
-    Among equal strings, which are neighbours in suffix order, ties go by document. A string's previous smaller
-    position is then the head of its run, and its next smaller lies beyond the run, where the
-    common prefix is shorter: the longest previous factor reaches the length if the head's document is smaller.
+def smaller(docs: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each position of a suffix order the least common prefix between it and the position before it that is the nearest
+    with a smaller document (the previous smaller value), 0 where there is none.
+
+    docs are the owners in suffix order, lcp[k] the common prefix of positions k - 1 and k. All positions step back together
+    over spans that hold no smaller owner, longest spans first, and keep the least common prefix on their way.
+    """
+    owners, common = _table(docs), _table(lcp)
+    at = np.arange(len(docs))
+    least = np.full(len(docs), np.iinfo(lcp.dtype).max, lcp.dtype)
+    for k in range(len(owners) - 1, -1, -1):
+        # The span [at - 2^k, at) may be passed if none of its owners is smaller; passing crosses lcp[at - 2^k + 1 .. at].
+        first = at - (1 << k)
+        able = first >= 0
+        able[able] = owners[k][first[able]] >= docs[able]
+        least[able] = np.minimum(least[able], common[k][first[able] + 1])
+        at[able] = first[able]
+    # Now the position just before is the nearest smaller one.
+    there = at > 0
+    least[there] = np.minimum(least[there], lcp[at[there]])
+    least[~there] = 0
+    return least
+
+
+def longest_previous_factors(strings: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For each string, how long a prefix of it (`length` at most) a string of a smaller document begins with.
+
+    strings are rows of big-endian words; their order, ties by document, is the suffix order. The nearest positions
+    before and after with a smaller document share the longest prefixes: the larger of the two is the factor.
     """
+    n = len(docs)
     order = np.lexsort((docs, *[strings[:, k] for k in range(strings.shape[1] - 1, -1, -1)]))
-    ordered, owner = strings[order], docs[order]
-    head = np.r_[True, (ordered[1:] != ordered[:-1]).any(1)]
-    first = owner[np.flatnonzero(head)][np.cumsum(head) - 1]
-    out = np.empty(len(docs), bool)
-    out[order] = owner > first
+    ordered = strings[order]
+    # Common prefixes of neighbours: words that agree, then bytes of the first word that doesn't.
+    differs = ordered[1:] ^ ordered[:-1]
+    word = (differs != 0).argmax(1)
+    first = differs[np.arange(n - 1), word] if n > 1 else np.zeros(0, np.uint64)
+    lead = np.zeros(n - 1 if n else 0, np.int64)
+    for k in range(1, 8):
+        lead += first < np.uint64(1) << np.uint64(64 - 8 * k)
+    same = first == 0
+    common = np.where(same, length, np.minimum(word * 8 + lead, length))
+    lcp = np.zeros(n + 1, np.uint16)
+    lcp[1:n] = common
+    _, owner = np.unique(docs[order], return_inverse=True)
+    owner = owner.astype(np.int32)
+    out = np.empty(n, np.uint16)
+    out[order] = np.maximum(smaller(owner, lcp), smaller(owner[::-1], lcp[::-1])[::-1]) if n else lcp[:0]
     return out
 
 
@@ -125,7 +171,8 @@ SENT = pa.schema([("bucket", pa.int32()), ("slab", pa.int32()), ("heads", pa.bin
 def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, slab_bytes: int = 2 << 20, hot: int = 10_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of the removed runs.
 
-    Texts are UTF-8 bytes, null is empty, matches never cross documents; texts shorter than `length` keep all.
+    Texts are UTF-8 bytes, null is empty, matches never cross documents; texts shorter than `length` keep all; a very long
+    text is a slab of its own; an empty table gives an empty result; other columns are ignored.
     Rows that share a doc_id are judged each, and none is earlier than another; rows
     without an id have no row in the result. Strings are judged on the input, not on
     what is left. Texts move once, into slabs; a string that many documents hold goes on once from each
@@ -194,7 +241,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raw = b"".join(pa.decompress(x, int(n["windows"].sum()) + len(n) * (length - 1), "zstd", asbytes=True) for x, n in zip(column(part, "data"), lists, strict=True))
         data = np.frombuffer(raw, np.uint8)
         begins = np.cumsum(sizes) - sizes
-        # Runs that an earlier document holds as a whole need no sorting.
+        # In a run that an earlier document holds as a whole every window's factor is long enough; it needs no sorting.
         seen: dict[bytes, int] = {}
         gone = np.zeros(len(heads), bool)
         by_doc = np.argsort(heads["doc"], kind="stable")
@@ -205,12 +252,13 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
         starts, run = np.repeat(begins, windows) + step, np.repeat(np.arange(len(heads)), windows)
         late = np.zeros(len(starts), bool)
-        # In parts by the string's first eight bytes, so that sorting holds a bounded part of the windows at a time.
+        # In parts by the string's first eight bytes, so that sorting holds a bounded part of the windows at a time; factors
+        # of eight bytes or more stay within a part.
         front = as_words(data, starts, 8)[:, 0]
         parts = max(1, len(starts) // 400_000)
         for k in range(parts):
             at = np.flatnonzero(mixed(front) % np.uint64(parts) == np.uint64(k)) if parts > 1 else np.arange(len(starts))
-            late[at] = previous(as_words(data, starts[at], length), heads["doc"][run[at]])
+            late[at] = longest_previous_factors(as_words(data, starts[at], length), heads["doc"][run[at]], length) >= length
         run, step = run[late], step[late]
         cuts = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (step[1:] != step[:-1] + 1)]) if len(run) else np.zeros(0, np.int64)
         out = np.zeros(len(cuts), HEAD)
