@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -69,77 +70,89 @@ def features(text: str, known: Words) -> tuple[float, ...]:
     return (float(np.log1p(hits)), hits / (n + 20.0), float(np.log1p(stems)), stems / (n + 20.0), float(disguised.sum()), float(near), capitals / size, shouts / size, float(odd.sum()) / (n + 20.0), float(np.log1p(n)), strongest)
 
 
-def with_features(rows: DataFrame, lexicon: dict[str, float], stems: frozenset[str]) -> DataFrame:
-    """The rows' other columns and FEATURES of their text; one narrow pass."""
+def with_features(rows: DataFrame, lexicons: list[tuple[dict[str, float], frozenset[str]]]) -> DataFrame:
+    """The rows' other columns and FEATURES of their text by the lexicon that column `by` numbers; one narrow pass."""
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(lexicon, stems)
+        known = [Words(*lexicon) for lexicon in lexicons]
         for batch in batches:
-            found = list(zip(*[features(t.as_py(), known) for t in batch.column("text")], strict=True)) or [()] * len(FEATURES)
+            found = list(zip(*[features(t.as_py(), known[k]) for t, k in zip(batch.column("text"), batch.column("by").to_pylist(), strict=True)], strict=True)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(x, pa.float64()) for x in found]], [*others, *FEATURES])
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in others] + [f"{f} double" for f in FEATURES]))
 
 
-def learnt_lexicon(sample: DataFrame, most: int = 3000, least: int = 4, ratio: float = 6.0) -> tuple[dict[str, float], frozenset[str]]:
-    """Words, and stems of STEM letters, that the sample's toxic texts hold `ratio` times as often as the others.
+def learnt_lexicons(sample: DataFrame, folds: int, sure: float) -> list[tuple[dict[str, float], frozenset[str]]]:
+    """Lexicons of words, and of stems of STEM letters: one without each fold's texts, then one of all.
 
-    Texts are counted per word with grouped sums; what is collected is bounded by `most` of each.
+    A word's weight is the least that its log odds of standing in a toxic text are sure to be: the smoothed odds less `sure` standard
+    errors. Words with a weight above 0 are the lexicon, all of them; rarer words have larger errors. Texts are counted per word and fold
+    with grouped sums; what is collected is bounded by the words of the sample, which is bounded itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad: dict[str, int] = {}
-            good: dict[str, int] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            counts: dict[str, list[int]] = {}
+            for text, toxic, fold in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("by").to_pylist(), strict=True):
                 low = {w.lower().rstrip("!*") for w in WORDS.findall(text)}
-                count = bad if toxic else good
                 for key in low | {"stem:" + w[:STEM] for w in low if len(w) > STEM}:
-                    count[key] = count.get(key, 0) + 1
-            keys = list(bad.keys() | good.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad.get(k, 0) for k in keys], pa.int64()), pa.array([good.get(k, 0) for k in keys], pa.int64())], ["word", "bad", "good"])
+                    counts.setdefault(key, [0] * 2 * folds)[2 * fold + (1 if toxic else 0)] += 1
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([counts[k][j] for k in keys], pa.int64()) for j in range(2 * folds)]], ["word", *cells])
 
-    total = sample.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).first()
-    bads, goods = (total["bad"] or 0) + 1.0, (total["all"] or 0) - (total["bad"] or 0) + 1.0
-    counts = sample.select("text", "toxic").mapInArrow(run, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = F.log2((F.col("bad") + 0.5) / bads / ((F.col("good") + 0.5) / goods))
-    strong = counts.filter(F.col("bad") >= least).withColumn("odds", odds).filter(F.col("odds") >= float(np.log2(ratio)))
-    words, stems = strong.filter(~F.startswith("word", F.lit("stem:"))), strong.filter(F.startswith("word", F.lit("stem:")))
-    take = lambda df: df.orderBy(F.desc("odds"), "word").limit(most).collect()
-    return {r.word: float(r.odds) for r in take(words)}, frozenset(r.word[5:] for r in take(stems))
+    cells = [f"{kind}{k}" for k in range(folds) for kind in ("good", "bad")]
+    totals = sample.groupBy("by").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).collect()
+    bads, goods = {r.by: r.bad for r in totals}, {r.by: r["all"] - r.bad for r in totals}
+    counts = sample.select("text", "toxic", "by").mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in cells)).groupBy("word").agg(*[F.sum(c).alias(c) for c in cells])
 
+    def weight(left: range | list[int]) -> Column:
+        bad, good = sum((F.col(f"bad{k}") for k in left), F.lit(0)), sum((F.col(f"good{k}") for k in left), F.lit(0))
+        all_bad, all_good = sum(bads.get(k, 0) for k in left) + 1.0, sum(goods.get(k, 0) for k in left) + 1.0
+        odds = F.log((bad + 0.5) / (all_bad - bad + 0.5)) - F.log((good + 0.5) / (all_good - good + 0.5))
+        error = F.sqrt(1.0 / (bad + 0.5) + 1.0 / (good + 0.5))
+        return F.greatest((odds - sure * error) / math.log(2), F.lit(0.0))
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_learnt: int = 20_000) -> DataFrame:
+    names = [f"w{k}" for k in range(folds + 1)]
+    weights = counts.select("word", *[weight([j for j in range(folds) if j != k]).alias(names[k]) for k in range(folds)], weight(list(range(folds))).alias(names[folds]))
+    strong = weights.filter(F.greatest(*names) > 0).collect()
+    return [({r.word: r[w] for r in strong if r[w] > 0 and not r.word.startswith("stem:")}, frozenset(r.word[5:] for r in strong if r[w] > 0 and r.word.startswith("stem:"))) for w in names]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_learnt: int = 20_000, folds: int = 4, sure: float = 2.0) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Learns from at most most_learnt labelled rows that aren't held out, those with the smallest hash of their id;
     the bound is what makes the sample's ids safe to broadcast. Three quarters of the sample give the lexicon and
-    the trees, the rest calibrates them. Scores use the text alone. Null texts count as empty and are
+    the trees, the rest calibrates them. The trees learn from features by the lexicon of the other folds' texts, so that no text's own label is in
+    its features; all other texts go by the lexicon of all folds. Scores use the text alone. Null texts count as empty and are
     scored; null labels aren't learnt from; of a document's several labels the largest counts; with one class or no labels every score is the share of toxic rows seen; an
-    empty table gives an empty result; repeated rows are scored each.
+    empty table gives an empty result; repeated rows are scored each, rows without an id too; very long texts are read whole; other columns are ignored.
     """
     rows = texts(docs, id_col, text_col)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_learnt)
-    sample = rows.join(F.broadcast(chosen), "doc_id").withColumn("calibrates", F.crc32(F.concat(F.lit("fold:"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0)
-    sample = cut(sample)
+    part = lambda salt, n: F.crc32(F.concat(F.lit(salt), F.col("doc_id").cast("string")).cast("binary")) % n
+    sample = rows.join(F.broadcast(chosen), "doc_id").withColumn("calibrates", part("fold:", 4) == 0)
+    sample = cut(sample.withColumn("by", F.when(F.col("calibrates"), F.lit(folds)).otherwise(part("lexicon:", folds)).cast("int")))
     seen = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = rows.withColumn("held_out", held_out())
+    out = rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     if not seen.get(0) or not seen.get(1):
         share = seen.get(1, 0) / max(1, sum(seen.values()))
         return out.select("doc_id", "held_out", F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
-    lexicon, stems = learnt_lexicon(sample.filter(~F.col("calibrates")))
+    lexicons = learnt_lexicons(sample.filter(~F.col("calibrates")), folds, sure)
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    learnt = cut(vector.transform(with_features(sample.select("doc_id", "toxic", "calibrates", "text"), lexicon, stems)).select("features", "calibrates", F.col("toxic").cast("double").alias("label")).coalesce(4))
+    # Few small rows are gathered for the trees only after their features were taken in as many tasks as hold the sample.
+    learnt = with_features(sample.select("doc_id", "toxic", "calibrates", "by", "text"), lexicons).repartition(8)
+    learnt = cut(vector.transform(learnt).select("features", "calibrates", F.col("toxic").cast("double").alias("label")))
     trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.2, seed=7).fit(learnt.filter(~F.col("calibrates")))
     raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
     rising = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="rising")
     fold = raw(learnt.filter("calibrates")).select("raw", "label")
     steps = rising.fit(fold if not fold.isEmpty() else raw(learnt).select("raw", "label"))
-    scored = steps.transform(raw(vector.transform(with_features(out, lexicon, stems))))
+    scored = steps.transform(raw(vector.transform(with_features(out.withColumn("by", F.lit(0)), lexicons[folds:]))))
     # Within a calibrated step the trees' own order is kept by a small share of it.
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rising") * 0.98 + F.col("raw") * 0.02))
     return scored.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
