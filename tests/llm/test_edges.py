@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import partial
 
 import corpus_pipeline
 import pytest
@@ -14,7 +15,7 @@ from millrace.llm import exact_dedup, licences, line_dedup, mixing, ngram_join,
 KIND = "doc_id long, text string, lang string, source string, toxic int, size long, row long, k int, mean double, found string, digest string, copies long, group_size long, _split long"
 OPERATORS = {
     "units": line_dedup.repeated_units, "mixing": mixing.mix_rates, "pieces": pieces.encoded_digests, "exact": exact_dedup.exact_groups, "ngram": ngram_join.similarity_classes,
-    "suffix": suffix_dedup.removed_bytes, "surrogates": surrogates.with_surrogates, "licences": licences.licence_scan, "quality": quality.judged,
+    "suffix": suffix_dedup.removed_bytes, "surrogates": partial(surrogates.with_surrogates, secret="k"), "licences": licences.licence_scan, "quality": quality.judged,
 }
 NAMED_ONLY = {"ngram", "suffix"}
 

@@ -18,7 +18,7 @@ KIND = "doc_id long, text string, lang string, source string"
 def test_surrogates_of_rows_without_an_id(spark):
     rows = [(None, "write ann.7@x.example", "en", "a"), (None, "write bob.8@x.example today", "en", "a"), (3, "call +1 (988) 555-2485", "en", "a"), (3, "write ann.7@x.example", "en", "a")]
     rows += [rows[0], (None, None, "en", "a")]
-    out = surrogates.with_surrogates(spark.createDataFrame(rows, KIND)).collect()
+    out = surrogates.with_surrogates(spark.createDataFrame(rows, KIND), "k").collect()
     assert len(out) == len(rows)
     texts = sorted((r.doc_id or 0, r.n_entities, r.kinds) for r in out)
     assert texts == [(0, 0, ""), (0, 1, "email"), (0, 1, "email"), (0, 1, "email"), (3, 1, "email"), (3, 1, "phone")]
