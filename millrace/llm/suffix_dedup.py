@@ -128,11 +128,12 @@ def smaller(docs: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return least
 
 
-def longest_previous_factors(strings: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+def longest_previous_factors(strings: np.ndarray, docs: np.ndarray, length: int, least: int = 0) -> np.ndarray:
     """For each string, how long a prefix of it (`length` at most) a string of a smaller document begins with.
 
     strings are rows of big-endian words; their order, ties by document, is the suffix order. The nearest positions
-    before and after with a smaller document share the longest prefixes: the larger of the two is the factor.
+    before and after with a smaller document share the longest prefixes: the larger of the two is the factor. Factors below
+    `least` may be told as 0: a position whose neighbours both share less has no longer factor, and is left out.
     """
     n = len(docs)
     order = np.lexsort((docs, *[strings[:, k] for k in range(strings.shape[1] - 1, -1, -1)]))
@@ -146,12 +147,17 @@ def longest_previous_factors(strings: np.ndarray, docs: np.ndarray, length: int)
         lead += first < np.uint64(1) << np.uint64(64 - 8 * k)
     same = first == 0
     common = np.where(same, length, np.minimum(word * 8 + lead, length))
-    lcp = np.zeros(n + 1, np.uint16)
-    lcp[1:n] = common
-    _, owner = np.unique(docs[order], return_inverse=True)
+    out = np.zeros(n, np.uint16)
+    near = common >= least
+    at = np.flatnonzero(np.r_[False, near] | np.r_[near, False]) if n > 1 else np.zeros(0, np.int64)
+    if not len(at):
+        return out
+    # Between two that are left and not neighbours lies one that shares less than `least`.
+    lcp = np.zeros(len(at) + 1, np.uint16)
+    lcp[1:-1] = np.where(np.diff(at) == 1, common[at[1:] - 1], 0)
+    _, owner = np.unique(docs[order[at]], return_inverse=True)
     owner = owner.astype(np.int32)
-    out = np.empty(n, np.uint16)
-    out[order] = np.maximum(smaller(owner, lcp), smaller(owner[::-1], lcp[::-1])[::-1]) if n else lcp[:0]
+    out[order[at]] = np.maximum(smaller(owner, lcp), smaller(owner[::-1], lcp[::-1])[::-1])
     return out
 
 
@@ -258,7 +264,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         parts = max(1, len(starts) // 400_000)
         for k in range(parts):
             at = np.flatnonzero(mixed(front) % np.uint64(parts) == np.uint64(k)) if parts > 1 else np.arange(len(starts))
-            late[at] = longest_previous_factors(as_words(data, starts[at], length), heads["doc"][run[at]], length) >= length
+            late[at] = longest_previous_factors(as_words(data, starts[at], length), heads["doc"][run[at]], length, length) >= length
         run, step = run[late], step[late]
         cuts = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (step[1:] != step[:-1] + 1)]) if len(run) else np.zeros(0, np.int64)
         out = np.zeros(len(cuts), HEAD)

@@ -24,7 +24,11 @@ def test_factors(length, letters, n):
         starts = np.arange(n)
         docs = rng.integers(-3, 5, n) * 10**12
         got = longest_previous_factors(as_words(text, starts, length), docs, length)
-        assert got.tolist() == by_force([text[k : k + length].tobytes() for k in starts], docs.tolist())
+        want = by_force([text[k : k + length].tobytes() for k in starts], docs.tolist())
+        assert got.tolist() == want
+        for least in (3, length):
+            few = longest_previous_factors(as_words(text, starts, length), docs, length, least)
+            assert [f if f >= least else 0 for f in few.tolist()] == [w if w >= least else 0 for w in want]
 
 
 def test_previous_smaller_values():
