@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.rules import classification, ladder
+from millrace.operators.rules import _class_sql, classification, ladder
 from millrace.plans.projections import AXES, LISTINGS, SCORES, days_between, let, listings, scores, table
 
 AS_OF = "1996-01-01"
@@ -47,13 +47,16 @@ def similar_titles(rows: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of a cohort's distinct titles whose common subsequence is `least` of the longer one.
 
     Similar titles share that much of their tokens, so one of the first tokens in a common order: titles meet only by the
-    (cohort, token) of the least tokens that must hold one of the shared.
+    (cohort, token) of the rarest tokens that must hold one of the shared.
     """
     tokens = F.filter(F.split(F.regexp_replace(F.lower("title"), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
     titles = rows.select("cohort", tokens.alias("t")).filter(F.size("t") > 0).distinct().withColumn("title", F.array_join("t", " "))
-    keys = F.array_sort(F.array_distinct("t"))
+    # Rare tokens come first in the order that all titles of a cohort share, so that few titles meet by one key.
+    often = titles.select("cohort", F.explode(F.array_distinct("t")).alias("k")).groupBy("cohort", "k").agg(F.count(F.lit(1)).alias("n"))
+    ranked = titles.select("cohort", "title", F.explode(F.array_distinct("t")).alias("k")).join(often, ["cohort", "k"]).groupBy("cohort", "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "k"))), lambda x: x["k"]).alias("keys"))
+    titles = titles.join(ranked, ["cohort", "title"])
     # Of m tokens at least ceil(least * m) are shared, so one of the first m - ceil(least * m) + 1 is.
-    first = F.slice(keys, F.lit(1), F.greatest(F.size("t") - F.ceil(F.size("t") * least).cast("int") + 1, F.lit(1)))
+    first = F.slice("keys", F.lit(1), F.greatest(F.size("t") - F.ceil(F.size("t") * least).cast("int") + 1, F.lit(1)))
     keyed = titles.withColumn("key", F.explode(first))
     a, b = keyed.select("cohort", "key", F.col("t").alias("a"), F.col("title").alias("title_a")), keyed.select("cohort", "key", F.col("t").alias("b"), F.col("title").alias("title_b"))
     pairs = a.join(b, ["cohort", "key"]).filter((F.col("title_a") < F.col("title_b")) & (F.least(F.size("a"), F.size("b")) >= least * F.greatest(F.size("a"), F.size("b")))).dropDuplicates(["cohort", "title_a", "title_b"])
@@ -175,6 +178,14 @@ QUERIES = {
 }
 _JSON = "'{' || " + " || ',' || ".join(f"'\"{a}\":' || {a}" for a in AXES) + " || '}'"
 ORACLES = {
+    "G11_assessment": f"""with {SCORES}, c as (select *, {_class_sql()} as class from scores), v as (select *, class not in ('low_signal', 'quarantined') as valid from c)
+select case when valid then class end as class, case when valid then coalesce(tier, 'unknown') end as tier, not valid as cleared, count(*) as n from v group by 1, 2, 3""",
+    "O07_packing": """with recursive t as (select conv_id, least(length(coalesce(text, '')), 400) as size, row_number() over (partition by conv_id order by turn, length(coalesce(text, ''))) as i from conversations),
+r as (select conv_id, i, size, 0 as batch, 1 as n, size as held from t where i = 1
+  union all
+  select t.conv_id, t.i, t.size, r.batch + (r.n + 1 > 3 or r.held + t.size > 400)::int, case when r.n + 1 > 3 or r.held + t.size > 400 then 1 else r.n + 1 end, case when r.n + 1 > 3 or r.held + t.size > 400 then t.size else r.held + t.size end
+  from r join t on t.conv_id = r.conv_id and t.i = r.i + 1)
+select conv_id, count(*)::int as turns, max(batch)::int as last_batch, string_agg(batch::varchar, ',' order by i) as batches from r group by 1""",
     "C17_cohorts": "select p_brand, count(*) as n, round(count(distinct p_name) / count(*), 6) as ratio, case when count(*) >= 10 and count(distinct p_name) / count(*) < 0.4 then 'template' else 'fine' end as verdict from part group by 1",
     "C08_places": "select c_custkey, ['New York+Boston', 'remote', '', 'Oslo+Bergen', 'Lima', 'Paris+Lyon', '', ''][(c_custkey % 8 + 1)::int] as places from customer",
     "C06_degenerate": f"with {SCORES} select greatest({', '.join(AXES)}) = least({', '.join(AXES)}) as degenerate, case when tier is null then 3 else comp_fit end as pay, count(*) as n from scores group by all",

@@ -51,19 +51,22 @@ def q_a07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency(rows.select(F.col("first_seen").alias("posted"), F.col("last_seen").alias("seen"), F.when(F.col("flag") == "N", "exact").otherwise("approximate").alias("precision")))
 
 
-def concentration(rows: DataFrame, key: str) -> DataFrame:
-    """Normalised Herfindahl index and entropy of the shares of a key; one group has index 1 and no entropy, none has neither."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
-    share = F.col("c") / F.sum("c").over(Window.partitionBy())
-    sums = counts.select(share.alias("p")).agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("p") * F.col("p")).alias("h"), F.sum(-F.col("p") * F.log2("p")).alias("e"))
-    n = F.col("groups")
-    return sums.select(n, F.round(F.when(n == 1, 1.0).when(n > 1, (F.col("h") - 1 / n) / (1 - 1 / n)), 6).alias("hhi"), F.round(F.when(n > 1, F.col("e")), 6).alias("entropy_bits"), F.round(F.when(n > 1, F.col("e") / F.log2(n)), 6).alias("evenness"))
+def concentrations(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Normalised Herfindahl index and entropy of the shares of each key; one group has index 1 and no entropy, none has neither.
+
+    All keys are counted in one pass with grouping sets. With counts c of total t the index is sum(c^2) / t^2 and the entropy log2(t) - sum(c log2 c) / t,
+    so plain sums over the counts do and no group waits for the total.
+    """
+    counts = rows.groupingSets([[k] for k in keys], *keys).agg(F.count(F.lit(1)).cast("double").alias("c"), F.grouping_id().alias("gid"))
+    ones = (1 << len(keys)) - 1
+    by = F.element_at(F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(ones - (1 << (len(keys) - 1 - i))), F.lit(k))]), F.col("gid").cast("int"))
+    sums = counts.groupBy(by.alias("by")).agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("s"), F.sum(F.col("c") * F.log2("c")).alias("l"))
+    n, h, e = F.col("groups"), F.col("s") / (F.col("t") * F.col("t")), F.log2("t") - F.col("l") / F.col("t")
+    return sums.select(n, F.round(F.when(n == 1, 1.0).when(n > 1, (h - 1 / n) / (1 - 1 / n)), 6).alias("hhi"), F.round(F.when(n > 1, e), 6).alias("entropy_bits"), F.round(F.when(n > 1, e / F.log2(n)), 6).alias("evenness"), "by")
 
 
 def q_a08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir)
-    out = [concentration(rows, k).withColumn("by", F.lit(k)) for k in ("company_id", "stratum", "priority")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return concentrations(listings(spark, sf_dir), ["company_id", "stratum", "priority"])
 
 
 def q_a09(spark: SparkSession, sf_dir: str) -> DataFrame:

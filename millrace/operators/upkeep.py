@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.names import company_key, named, title_key, without_repeated_suffix
+from millrace.functions.names import NAMED, company_key, key_sql, named, repeated_suffix_sql, title_key, title_key_sql, without_repeated_suffix
 from millrace.operators.rules import ladder
 from millrace.plans.projections import let, table
 from millrace.streaming.events import shared_folder
@@ -15,6 +15,12 @@ CITIES = (("boston", "US", 675_000), ("boston", "GB", 45_000), ("paris", "FR", 2
 COUNTRIES = {"united states": "US", "usa": "US", "france": "FR", "germany": "DE", "norway": "NO", "peru": "PE", "uk": "GB", "united kingdom": "GB"}
 
 
+#: What comes off a title's text: requisition numbers, place tails, card junk.
+REQUISITION = r"(?i)\s*[\(\[]?(?:req(?:uisition)?|job)\s*(?:id|#|no\.?)?\s*[:#-]?\s*[A-Z]{0,3}-?\d{3,}[\)\]]?"
+PLACE_TAIL = r"(?i)\s*[-–|,]\s*(?:remote|hybrid|on-?site)\s*$"
+CARD_JUNK = r"(?i)\s*(?:new|apply now|save job|full[- ]time)\s*$"
+
+
 def slugs(name: Column) -> Column:
     """Slug candidates of a company name: joined, hyphenated, its first word, each once."""
     words = F.filter(F.split(F.regexp_replace(company_key(name), "[^a-z0-9 ]", ""), r"\s+"), lambda w: w != "")
@@ -23,9 +29,9 @@ def slugs(name: Column) -> Column:
 
 def clean_title(title: Column) -> Column:
     """Requisition numbers, place tails, card junk and lone leading letters off a title, in that order."""
-    s = F.regexp_replace(title, r"(?i)\s*[\(\[]?(?:req(?:uisition)?|job)\s*(?:id|#|no\.?)?\s*[:#-]?\s*[A-Z]{0,3}-?\d{3,}[\)\]]?", "")
-    s = F.regexp_replace(s, r"(?i)\s*[-–|,]\s*(?:remote|hybrid|on-?site)\s*$", "")
-    s = F.regexp_replace(s, r"(?i)\s*(?:new|apply now|save job|full[- ]time)\s*$", "")
+    s = title
+    for pattern in (REQUISITION, PLACE_TAIL, CARD_JUNK):
+        s = F.regexp_replace(s, pattern, "")
     return F.trim(F.regexp_replace(s, r"^[A-Z] (?=[A-Z][a-z])", ""))
 
 
@@ -118,7 +124,22 @@ QUERIES = {
     "X20_slugs": q_x20, "X09_clean_title": q_x09, "J14_cities": q_j14, "A30_title_sweep": q_a30, "C21_missing_fields": q_c21, "C26_identity": q_c26, "C29_navigation": q_c29, "G02_free_slots": q_g02, "S12_append_log": q_s12, "T02_two_cursors": q_t02,
 }
 _LACKS = "list_filter([case when c_acctbal < 0 then 'pay' end, case when c_nationkey % 5 = 0 then 'place' end, case when c_custkey % 3 = 0 then 'text' end], lambda x: x is not null)"
+
+
+def clean_sql(t: str) -> str:
+    for pattern in (REQUISITION, PLACE_TAIL, CARD_JUNK):
+        t = f"regexp_replace({t}, '{pattern}', '', 'g')"
+    return f"trim(regexp_replace({t}, '^[A-Z] ([A-Z][a-z])', '\\1'))"
+
+
+_SLUG = "array_to_string([a] || case when b <> a then [b] else [] end || case when c not in (a, b) then [c] else [] end, ',')"
 ORACLES = {
+    "X09_clean_title": f"""with t as (select p_partkey, case when p_partkey % 7 = 0 then 'R Data ' else '' end || p_name || [' (Req #12345)', ' - Remote', ' | Hybrid', ' Full-time', '', ' Job ID: AB-9876'][(p_partkey % 6 + 1)::int] as title from part)
+select p_partkey, {clean_sql('title')} as title from t""",
+    "X20_slugs": f"""with {NAMED}, {key_sql("k", "named", "company")}, w as (select p_partkey, list_filter(regexp_split_to_array(regexp_replace(company, '[^a-z0-9 ]', '', 'g'), '\\s+'), lambda x: x <> '') as w from k),
+s as (select p_partkey, coalesce(array_to_string(w, ''), '') as a, coalesce(array_to_string(w, '-'), '') as b, coalesce(w[1], '') as c from w) select p_partkey, {_SLUG} as slugs from s""",
+    "A30_title_sweep": f"""with {NAMED}, c as (select unnest([{{'rule': 'repeated_suffix', 'c': {repeated_suffix_sql('title')} is distinct from title}}, {{'rule': 'clean', 'c': {clean_sql('title')} is distinct from title}}, {{'rule': 'key', 'c': {title_key_sql('title')} is distinct from title}}]) as r from named)
+select r.rule as rule, count(*) as n, count(*) filter (r.c) as changed from c group by 1""",
     "J14_cities": f"""with g(name, code, people) as (values {", ".join(f"('{n}', '{c}', {p})" for n, c, p in CITIES)}),
 r as (select c_custkey as id, lower(['Boston', 'Paris', 'Oslo', 'LIMA', 'Bonn', 'Nowhere'][(c_custkey % 6 + 1)::int]) as name, [null, 'US', 'FR', 'GB', 'PE'][(c_custkey % 5 + 1)::int] as want from customer),
 f as (select id, r.name, want, code, people, count(*) over (partition by id) as n from r join g on r.name = g.name and (want is null or want = code))
