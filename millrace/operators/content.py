@@ -56,7 +56,7 @@ def rejection(title: Column, text: Column) -> Column:
     head = F.substring(text, 1, HEAD)
     return ladder([
         (F.char_length(F.trim(text)) < LEAST_CHARS, "truncated"), (head.rlike(BLOCKED), "head_block"), (head.rlike(LISTING), "listing"), (head.rlike(NOT_FOUND), "not_found"), (head.rlike(PLACEHOLDER), "placeholder"),
-        (head.rlike(NO_RESULTS), "no_results"), (text.rlike(EXPIRED), "expired"), (F.trim(text).rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull(), "config_blob"), (mismatched(title, text), "off_title"),
+        (head.rlike(NO_RESULTS), "no_results"), (text.rlike(EXPIRED), "expired"), (F.trim(text).rlike(r"^[\[{]") & F.trim(text).rlike(r"[\]}]\s*\z") & F.try_parse_json(text).isNotNull(), "config_blob"), (mismatched(title, text), "off_title"),
     ])
 
 
