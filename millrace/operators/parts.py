@@ -22,6 +22,8 @@ ORDERS = {
     "priority": [("o_orderpriority", False), ("o_orderdate", True)], "status": [("o_orderstatus", False), ("o_totalprice", True)], "customer": [("o_custkey", False)],
 }
 DURABLE = ("signup", "purchase")
+#: Edges of a word in any script; what \b takes for a letter differs between engines and their versions.
+BEFORE, AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 
 def ordering(token: str) -> list[Column]:
@@ -55,7 +57,7 @@ def stems(company: Column) -> Column:
 def acronym_in(short: Column, body: Column) -> Column:
     """The acronym stands in the body as a word, with at most one mark between its characters."""
     spread = F.regexp_replace(short, "(?<=.)(?=.)", "[^a-z0-9]?")
-    return F.coalesce(F.regexp_like(F.lower(body), F.concat(F.lit(r"\b"), spread, F.lit(r"\b"))), F.lit(False))
+    return F.coalesce(F.regexp_like(F.lower(body), F.concat(F.lit(BEFORE), spread, F.lit(AFTER))), F.lit(False))
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -416,7 +418,7 @@ b as (select doc_id, lower(company) as low, regexp_replace(lower(company), '[^a-
 a as (select *, case when length(joined) >= 2 and (len(list_filter(regexp_extract_all(low, '[a-z0-9]+'), lambda r: length(r) < 3)) > 0 or regexp_matches(low, '[^a-z0-9\s]')) and joined not in ({_STOP}) then joined end as acronym,
   list_filter(regexp_extract_all(low, '[a-z0-9]+'), lambda t: length(t) >= 2 and t not in ({_STOP})) as runs from b)
 select doc_id, acronym, array_to_string(case when acronym is null or list_contains(runs, acronym) then runs else list_append(runs, acronym) end, ' ') as stems,
-  coalesce(regexp_matches(body, '\b' || array_to_string(regexp_extract_all(acronym, '.'), '[^a-z0-9]?') || '\b'), false) as mentioned from a""",
+  coalesce(regexp_matches(body, '{BEFORE}' || array_to_string(regexp_extract_all(acronym, '.'), '[^a-z0-9]?') || '{AFTER}'), false) as mentioned from a""",
     "X17_domains": f"with {ADDRESSES} select case when array_to_string({_LABELS}[-2:], '.') in ({', '.join(repr(x) for x in TWO_LABEL)}) then array_to_string({_LABELS}[-3:], '.') else array_to_string({_LABELS}[-2:], '.') end as domain, count(*) as n from addresses group by 1",
     "X19_posting_ids": rf"with {ADDRESSES} select page_id, coalesce({_JOBID}, nullif(regexp_extract(url, '/jobs?/(\d+)', 1), '')) as posting_id, regexp_matches(url, '(?i)://(?:boards\.greenhouse\.io|(?:api|jobs)\.lever\.co|jobs\.ashbyhq\.com)/') as direct from addresses",
     "X28_apply_address": rf"""with {ADDRESSES}, k as (select *, page_id // 7 as site, case when regexp_matches(url, '(?i)greenhouse\.io|lever\.co') then 1 when regexp_matches(url, '(?i)linkedin\.com|indeed\.com') then 3 else 2 end as kind from addresses)

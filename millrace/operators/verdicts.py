@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.names import STEM, STOPWORDS, mentions_a_stem, tokens, tokens_sql
 from millrace.operators.content import _JUNK_SQL, COUNT, LISTING, PAGES, is_junk, pages_read, rejection, rejection_sql, said
-from millrace.operators.parts import COMPANY_STOPWORDS, acronym, acronym_in, stems
+from millrace.operators.parts import AFTER, BEFORE, COMPANY_STOPWORDS, acronym, acronym_in, stems
 from millrace.operators.rules import ladder
 
 LEAST_CLEAN, LEAST_PROSE = 600, 40
@@ -54,7 +54,7 @@ def mentions_company(company: Column, text: Column) -> Column:
     """A stem of the company stands in the text: short ones as words, longer ones by their first letters, acronyms with marks between."""
     low, short = F.lower(text), acronym(company)
     told = F.filter(stems(company), lambda s: ~s.eqNullSafe(short))
-    stem = lambda s: F.when(F.char_length(s) < STEM, F.regexp_like(low, F.concat(F.lit(r"\b"), s, F.lit(r"\b")))).otherwise(low.contains(F.substring(s, 1, STEM)))
+    stem = lambda s: F.when(F.char_length(s) < STEM, F.regexp_like(low, F.concat(F.lit(BEFORE), s, F.lit(AFTER)))).otherwise(low.contains(F.substring(s, 1, STEM)))
     return F.coalesce(F.exists(told, stem), F.lit(False)) | acronym_in(short, text)
 
 
@@ -124,8 +124,8 @@ f as (select *, case when reason is not null then null when body = '' then 'empt
     when (regexp_matches(title, '{_Q(EXPLAINER)}') or regexp_matches(body, '{_Q(EXPLAINER)}')) and regexp_matches(body, '{_Q(AVERAGES)}') then 'career_explainer_seo' end as doubt,
   regexp_matches(body, '{_Q(POSTING)}') and length(body) >= {LEAST_CLEAN}
     and len(list_filter(case when title <> '' then {tokens_sql("title")} else {tokens_sql("coalesce(company, '')")} end, lambda t: contains(lower(body), substr(t, 1, {STEM})))) > 0 as clean,
-  (len(told) > 0 or short is not null) and not (len(list_filter(told, lambda t: t is distinct from short and case when length(t) < {STEM} then regexp_matches(lower(body), '\b' || t || '\b') else contains(lower(body), substr(t, 1, {STEM})) end)) > 0
-    or coalesce(regexp_matches(lower(body), '\b' || array_to_string(regexp_extract_all(short, '.'), '[^a-z0-9]?') || '\b'), false)) as absent from a)
+  (len(told) > 0 or short is not null) and not (len(list_filter(told, lambda t: t is distinct from short and case when length(t) < {STEM} then regexp_matches(lower(body), '{BEFORE}' || t || '{AFTER}') else contains(lower(body), substr(t, 1, {STEM})) end)) > 0
+    or coalesce(regexp_matches(lower(body), '{BEFORE}' || array_to_string(regexp_extract_all(short, '.'), '[^a-z0-9]?') || '{AFTER}'), false)) as absent from a)
 select doc_id, case when reason is not null then 'REJECT' when doubt is null and clean and not absent then 'CLEAN' else 'AMBIGUOUS' end as verdict,
   coalesce(reason, doubt, case when clean and absent then 'company_absent' when clean then 'shape+grounded' else 'needs_adjudication' end) as why from f""",
 }
