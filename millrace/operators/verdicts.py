@@ -58,22 +58,24 @@ def mentions_company(company: Column, text: Column) -> Column:
     return F.coalesce(F.exists(told, stem), F.lit(False)) | acronym_in(short, text)
 
 
-def content_verdict(title: Column, company: Column, text: Column) -> tuple[Column, Column]:
-    """(verdict, why) of a text under its title and company: REJECT for C02's reasons, AMBIGUOUS for a doubt, CLEAN for a long
+def with_verdict(rows: DataFrame) -> DataFrame:
+    """Rows (title, company, text, ...) with verdict and why: REJECT for C02's reasons, AMBIGUOUS for a doubt, CLEAN for a long
     text with a posting's wordings that mentions its title, or its company where it has no title.
 
     A null or empty text is AMBIGUOUS (empty); a clean text that never mentions its company is AMBIGUOUS (company_absent),
-    where the company's name has anything to mention.
+    where the company's name has anything to mention. Each step is a column of its own, so that no pattern is searched twice.
     """
-    body, none = stripped(F.coalesce(text, F.lit(""))), F.lit("")
-    words = F.when(F.coalesce(title, none) != "", tokens(title)).otherwise(tokens(F.coalesce(company, none)))
-    clean = body.rlike(POSTING) & mentions_a_stem(words, body) & (F.char_length(body) >= LEAST_CLEAN)
-    absent = F.coalesce(F.size(stems(company)) > 0, F.lit(False)) & ~mentions_company(company, body)
-    reason = F.when(F.coalesce(text, none) != "", rejection(F.coalesce(title, none), text))
-    doubt = ladder([(body == "", "empty")], widening(title, body))
-    why = F.coalesce(reason, doubt, ladder([(clean & absent, "company_absent"), (clean, "shape+grounded")], "needs_adjudication"))
-    verdict = ladder([(reason.isNotNull(), "REJECT"), (doubt.isNull() & clean & ~absent, "CLEAN")], "AMBIGUOUS")
-    return verdict, why
+    none = F.lit("")
+    out = rows.withColumn("_body", stripped(F.coalesce("text", none)))
+    out = out.withColumn("_reason", F.when(F.coalesce("text", none) != "", rejection(F.coalesce("title", none), F.col("text"))))
+    out = out.withColumn("_doubt", F.when(F.col("_reason").isNull(), F.when(F.col("_body") == "", "empty").otherwise(widening(F.col("title"), F.col("_body")))))
+    words = F.when(F.coalesce("title", none) != "", tokens(F.col("title"))).otherwise(tokens(F.coalesce("company", none)))
+    clean = (F.char_length("_body") >= LEAST_CLEAN) & F.col("_body").rlike(POSTING) & mentions_a_stem(words, F.col("_body"))
+    absent = F.coalesce(F.size(stems(F.col("company"))) > 0, F.lit(False)) & ~mentions_company(F.col("company"), F.col("_body"))
+    last = F.when(clean, F.when(absent, "company_absent").otherwise("shape+grounded")).otherwise("needs_adjudication")
+    out = out.withColumn("why", F.coalesce("_reason", "_doubt", last))
+    verdict = ladder([(F.col("_reason").isNotNull(), "REJECT"), (F.col("why") == "shape+grounded", "CLEAN")], "AMBIGUOUS")
+    return out.withColumn("verdict", verdict).drop("_body", "_reason", "_doubt")
 
 
 _SAYS = (
@@ -90,8 +92,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_c03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict, why = content_verdict(F.col("title"), F.col("company"), F.col("text"))
-    return postings(spark, sf_dir).select("doc_id", verdict.alias("verdict"), why.alias("why"))
+    return with_verdict(postings(spark, sf_dir)).select("doc_id", "verdict", "why")
 
 
 def q_c04(spark: SparkSession, sf_dir: str) -> DataFrame:

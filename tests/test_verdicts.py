@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.verdicts import EMPTY_DEMANDS, content_verdict
+from millrace.operators.verdicts import EMPTY_DEMANDS, with_verdict
 
 LONG = "The clerk keeps the books of the harbour and answers letters from captains. " * 10
 BODY = f"About the role: the clerk at Acme Harbours.\n## Responsibilities\n{LONG}"
@@ -34,7 +34,7 @@ BODY = f"About the role: the clerk at Acme Harbours.\n## Responsibilities\n{LONG
 ])
 def test_content_verdict(spark, title, company, text, want):
     df = spark.createDataFrame([(title, company, text)], "title string, company string, text string")
-    assert tuple(df.select(*content_verdict(F.col("title"), F.col("company"), F.col("text"))).first()) == want
+    assert tuple(with_verdict(df).select("verdict", "why").first()) == want
 
 
 @pytest.mark.parametrize("text, hollow", [
