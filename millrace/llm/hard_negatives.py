@@ -24,8 +24,9 @@ from millrace.session import ship
 
 #: Components this large give scores that need not fit a long; such rows take no part.
 WIDEST = 1 << 28
-NONE = np.iinfo(np.int64).min
-PACKED = "id long, label long, asks boolean, length double, wide boolean, v binary"
+#: Below and above every score; both are exact as floats.
+NONE, ANY = np.iinfo(np.int64).min, 1 << 62
+PACKED = "id long, label long, asks boolean, own long, length double, wide boolean, v binary"
 
 
 def components_of(column: pa.ListArray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,11 +49,11 @@ def packed(rows: DataFrame, asks: Column, id_col: str, label_col: str, vector_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, sizes, good = components_of(batch.column("vector"), scale)
-            length = np.sqrt((parts.astype(float) ** 2).sum(1))
+            own = (parts**2).sum(1)
             wide = (np.abs(parts) > 32767).any(1) if parts.shape[1] else np.zeros(len(parts), bool)
             data = [p[:n].astype("<i4" if w else "<i2").tobytes() for p, n, w in zip(parts, sizes, wide, strict=True)]
             kept = pa.array(good)
-            cols = [batch.column("id"), batch.column("label"), batch.column("asks"), pa.array(length), pa.array(wide), pa.array(data, pa.binary())]
+            cols = [batch.column("id"), batch.column("label"), batch.column("asks"), pa.array(own), pa.array(np.sqrt(own)), pa.array(wide), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.filter(kept) for c in cols], [f.split()[0] for f in PACKED.split(", ")])
 
     q = lambda c: F.col(f"`{c}`")
@@ -194,7 +195,7 @@ class Best:
 
 def _pruned(score_rows: np.ndarray, k: int) -> np.ndarray:
     """The k-th largest of each row: what a first look at a bucket needs of it at least."""
-    return np.partition(score_rows, -k, axis=1)[:, -k] if score_rows.shape[1] >= k else np.full(len(score_rows), -np.inf)
+    return np.partition(score_rows, -k, axis=1)[:, -k].astype(np.int64) if score_rows.shape[1] >= k else np.full(len(score_rows), NONE)
 
 
 class Asking:
@@ -223,12 +224,10 @@ def positives_in(slab: Slab, anchors: pa.Table, k: int, focus: int, share: float
             for start in range(0, len(mine), chunk):
                 part = mine[start : start + chunk]
                 x, unit, size, axes = asking.cut(part)
-                need = best.score[part, k - 1].astype(float)
-                need[need == NONE] = -np.inf
-                if np.isinf(need).any():  # a first look: of this bucket, only its own k best can be among the best
+                need = best.score[part, k - 1]
+                if (need == NONE).any():  # a first look: of this bucket, only its own k best can be among the best
                     need = np.maximum(need, _pruned(x @ bucket.x.T, k))
-                need = np.maximum(need, -float(1 << 62))
-                for i, j, score in bucket.hits(x, unit, size, axes, need, np.full(len(part), float(1 << 62)), None, share):
+                for i, j, score in bucket.hits(x, unit, size, axes, need, np.full(len(part), ANY), None, share):
                     best.take(*slab.expanded(part[i], bucket.rows[j], score))
     return best
 
@@ -240,8 +239,8 @@ def negatives_in(slab: Slab, anchors: pa.Table, k: int, low: int, high: int, of:
     of_key = np.repeat(np.arange(len(scores)), [len(s) for s in scores])
     from_ = np.searchsorted(of_key, np.arange(len(scores)))
     width = max(map(len, scores), default=0)
-    wanted = np.array([p for s in scores for p in s], np.int64)
-    least, most = -(-low * wanted // of), high * wanted // of
+    wanted = [p for s in scores for p in s]
+    least, most = np.array([-(-low * p // of) for p in wanted], np.int64), np.array([high * p // of for p in wanted], np.int64)
     best = Best(len(of_key), k)
     for bucket in slab.buckets(np.arange(len(slab.label))):
         for start in range(0, len(scores), chunk):
@@ -250,11 +249,10 @@ def negatives_in(slab: Slab, anchors: pa.Table, k: int, low: int, high: int, of:
             # What each of an anchor's positives still needs; the anchor needs the least of these.
             need_key = np.maximum(least, best.score[:, k - 1])
             void = need_key > most
-            need, top = np.full(len(part), np.inf), np.full(len(part), -np.inf)
+            need, top = np.full(len(part), ANY), np.full(len(part), NONE)
             keys = np.flatnonzero((of_key >= part[0]) & (of_key <= part[-1]) & ~void)
-            np.minimum.at(need, of_key[keys] - start, need_key[keys].astype(float))
-            np.maximum.at(top, of_key[keys] - start, most[keys].astype(float))
-            need, top = np.minimum(need, float(1 << 62)), np.maximum(top, -float(1 << 62))
+            np.minimum.at(need, of_key[keys] - start, need_key[keys])
+            np.maximum.at(top, of_key[keys] - start, most[keys])
             other = asking.label[part][:, None] != slab.label[bucket.rows][None, :]
             for i, j, score in bucket.hits(x, unit, size, axes, need, top, other, share):
                 for p in range(width):
@@ -287,7 +285,7 @@ def hard_negatives(
     laid = cut(laid.repartitionByRange(slabs, "label", F.desc("length"), F.xxhash64("v"), "id").withColumn("slab", F.spark_partition_id()))
     shape = [tuple(r) for r in laid.groupBy("slab").agg(F.min("label"), F.max("label"), F.max("length")).collect()]
     anchors = cut(laid.filter("asks").drop("asks", "slab").withColumn("aid", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("aid"), F.lit(blocks)).cast("int")))
-    vectors = laid.drop("asks")
+    vectors = laid.drop("asks", "own")
     vectors = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else vectors.withColumn("block", F.lit(0))
 
     def sent(asking: DataFrame, reaches) -> DataFrame:
@@ -326,7 +324,7 @@ def hard_negatives(
     by_score = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc_nulls_last("found"))
     near = tiles(sent(anchors, of_label), first_search, "aid long, score long, found long").withColumn("at", F.row_number().over(by_score("aid"))).filter(F.col("at") <= positives + 1)
     listed = near.groupBy("aid").agg(F.sort_array(F.collect_list(F.struct("at", "score", "found"))).alias("near"))
-    known = anchors.join(listed, "aid").withColumn("own", F.round(F.col("length") * F.col("length")).cast("long"))
+    known = anchors.join(listed, "aid")
     itself = F.array_position(F.transform("near", lambda x: (x.score == F.col("own")) & x.found.eqNullSafe(F.col("id"))), True)
     others = F.slice(F.filter("near", lambda x, i: (itself == 0) | (i != itself - 1)), 1, positives)
     known = cut(known.withColumn("others", others).filter(F.size("others") > 0).withColumn("positive_scores", F.col("others.score")).drop("near", "own"))
