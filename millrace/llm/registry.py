@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import compression, exact_dedup, hard_negatives, licences, line_dedup, mixing, ngram_join, pieces, quality, suffix_dedup, surrogates, toxicity
+from millrace.llm import compression, exact_dedup, hard_negatives, licences, line_dedup, merkle, mixing, ngram_join, pieces, quality, suffix_dedup, surrogates, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_surrogates": surrogates.op8_surrogates,
     "op9_licence_scan": licences.op9_licence_scan,
     "op10_quality": quality.op10_quality,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_compression_quality": compression.op13_compression_quality,
 }
-ORACLES = {**exact_dedup.SQL, **hard_negatives.SQL, **line_dedup.SQL, **mixing.SQL}
+ORACLES = {**exact_dedup.SQL, **hard_negatives.SQL, **line_dedup.SQL, **merkle.SQL, **mixing.SQL}
