@@ -69,13 +69,6 @@ def q_j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_titles(rows)
 
 
-def q_c17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C17: cohorts by their share of distinct titles; few among many postings look like a template."""
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_name").alias("titles"))
-    ratio = F.col("titles") / F.col("n")
-    return rows.select("p_brand", "n", F.round(ratio, 6).alias("ratio"), ladder([((F.col("n") >= 10) & (ratio < 0.4), "template")], "fine").alias("verdict"))
-
-
 def packed(items: Column, most_items: int, most_size: int) -> Column:
     """Greedy packing of an ordered array of sizes: a new batch when the next item would pass either bound; longer items are cut first."""
     zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("of"))
@@ -173,7 +166,7 @@ def q_c14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SUM = " + ".join(AXES)
 QUERIES = {
-    "J15_similar_titles": q_j15, "C17_cohorts": q_c17, "O07_packing": q_o07, "C08_places": q_c08, "C06_degenerate": q_c06, "A25_axis_sums": q_a25, "C15_audit_due": q_c15, "G11_assessment": q_g11,
+    "J15_similar_titles": q_j15, "O07_packing": q_o07, "C08_places": q_c08, "C06_degenerate": q_c06, "A25_axis_sums": q_a25, "C15_audit_due": q_c15, "G11_assessment": q_g11,
     "F25_cool_down": q_f25, "X11_title_contract": q_x11, "X27_chips": q_x27, "C14_ingest": q_c14,
 }
 _JSON = "'{' || " + " || ',' || ".join(f"'\"{a}\":' || {a}" for a in AXES) + " || '}'"
@@ -186,7 +179,6 @@ r as (select conv_id, i, size, 0 as batch, 1 as n, size as held from t where i =
   select t.conv_id, t.i, t.size, r.batch + (r.n + 1 > 3 or r.held + t.size > 400)::int, case when r.n + 1 > 3 or r.held + t.size > 400 then 1 else r.n + 1 end, case when r.n + 1 > 3 or r.held + t.size > 400 then t.size else r.held + t.size end
   from r join t on t.conv_id = r.conv_id and t.i = r.i + 1)
 select conv_id, count(*)::int as turns, max(batch)::int as last_batch, string_agg(batch::varchar, ',' order by i) as batches from r group by 1""",
-    "C17_cohorts": "select p_brand, count(*) as n, round(count(distinct p_name) / count(*), 6) as ratio, case when count(*) >= 10 and count(distinct p_name) / count(*) < 0.4 then 'template' else 'fine' end as verdict from part group by 1",
     "C08_places": "select c_custkey, ['New York+Boston', 'remote', '', 'Oslo+Bergen', 'Lima', 'Paris+Lyon', '', ''][(c_custkey % 8 + 1)::int] as places from customer",
     "C06_degenerate": f"with {SCORES} select greatest({', '.join(AXES)}) = least({', '.join(AXES)}) as degenerate, case when tier is null then 3 else comp_fit end as pay, count(*) as n from scores group by all",
     "A25_axis_sums": f"with {SCORES} select company_id, sum(case when listing_id % 10 = 0 then 0 else {_SUM} end)::bigint as axis_sum, count(*) filter (listing_id % 10 = 0) as unread from scores group by 1",
