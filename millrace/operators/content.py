@@ -1,8 +1,8 @@
-"""Content contracts, expiry markers, place fit and content writes."""
+"""Content contracts, expiry markers, place fit and content writes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import NAMED, mentions_a_stem, named, tokens, tokens_sql
@@ -152,17 +152,8 @@ def q_g03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("changed", F.col("reason").isNotNull().alias("rejected"), (F.when(F.col("changed"), F.col("text")).otherwise(F.col("old"))).isNull().alias("empty")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_t06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mailbox cursor by (epoch, id): within an epoch only what lies above its own high water is read, a new epoch starts anew."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("epoch"), "event_id")
-    w = Window.partitionBy("user_id", "epoch").orderBy("event_id")
-    state = rows.withColumn("before", F.max("event_id").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    fresh = F.col("before").isNull() | (F.col("event_id") > F.col("before"))
-    return state.groupBy("user_id").agg(F.countDistinct("epoch").alias("epochs"), F.count_if(fresh).alias("read"), F.max_by("event_id", F.struct("epoch", "event_id")).alias("cursor"))
-
-
 QUERIES = {
-    "C02_rejections": q_c02, "C09_place_fit": q_c09, "C13_expiry": q_c13, "C24_keywords": q_c24, "C28_page_kinds": q_c28, "G03_content_write": q_g03, "T06_mail_cursor": q_t06, "X07_brands": q_x07, "X12_mismatch": q_x12,
+    "C02_rejections": q_c02, "C09_place_fit": q_c09, "C13_expiry": q_c13, "C24_keywords": q_c24, "C28_page_kinds": q_c28, "G03_content_write": q_g03, "X07_brands": q_x07, "X12_mismatch": q_x12,
 }
 _P = lambda p: p.replace("'", "''")
 PAGES = f"""{NAMED}, pages_read as (select doc_id, coalesce(title, '') as title, company,
@@ -215,6 +206,5 @@ select p_partkey, array_to_string(list_transform(k[1:3], lambda x: x.w), ',') as
 c as (select *, text is distinct from old and reason is null as changed from r)
 select changed, reason is not null as rejected, (case when changed then text else old end) is null as empty, count(*) as n from c group by 1, 2, 3""",
     "X12_mismatch": f"with {PAGES} select doc_id, {mismatched_sql('title', 'text')} as mismatch from pages_read",
-    "T06_mail_cursor": "select user_id, count(distinct ts::date) as epochs, count(*) as read, arg_max(event_id, (ts::date, event_id)) as cursor from events group by 1",
     "X07_brands": f"select s_suppkey, trim(regexp_replace(lower(case when s_suppkey % 10 = 3 then '  WALMART!' when s_suppkey % 10 = 4 then 'General-Motors' else s_name end), '[^a-z0-9]+', ' ', 'g')) in ({', '.join(repr(b) for b in BRANDS)}) as blocked from supplier",
 }

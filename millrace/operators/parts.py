@@ -350,15 +350,6 @@ def q_t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(keep).select("event_id", "event_type")
 
 
-def q_s05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one mailbox read takes: ids above the high water within its epoch, all of them in a new epoch."""
-    water = table(spark, sf_dir, "events").filter("event_type = 'click'").groupBy("user_id").agg(F.max_by(F.struct(F.to_date("ts").alias("epoch"), "event_id"), F.struct("ts", "event_id")).alias("w"))
-    rows = table(spark, sf_dir, "events").join(water, "user_id", "left")
-    same = F.col("w.epoch").eqNullSafe(F.to_date("ts"))
-    fresh = F.col("w").isNull() | (same & (F.col("event_id") > F.col("w.event_id"))) | (~same & (F.to_date("ts") > F.col("w.epoch")))
-    return rows.groupBy("user_id").agg(F.count_if(fresh).alias("read"), F.max(F.when(fresh, F.col("event_id"))).alias("water"))
-
-
 def q_s09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies taken in by lower-cased name: empty, wordless and overlong names rejected, status only rising, gaps filled."""
     shape = F.element_at(F.array(F.col("p_brand"), F.concat(F.lit("  "), F.upper("p_brand")), F.lit("--"), F.repeat(F.lit("x"), F.lit(300)), F.lit(""), F.concat("p_brand", F.lit(" "))), (F.col("p_partkey") % 6 + 1).cast("int"))
@@ -381,7 +372,7 @@ QUERIES = {
     "W02_top_five": q_w02, "W04_gaps": q_w04, "W05_shares": q_w05, "W06_rolling_day": q_w06, "O01_sort_tokens": q_o01, "U02_two_cohorts": q_u02, "U03_new_patterns": q_u03, "U05_shared_words": q_u05, "X10_tiles": q_x10,
     "X13_match_titles": q_x13, "X14_acronyms": q_x14, "X17_domains": q_x17, "X19_posting_ids": q_x19, "X28_apply_address": q_x28, "D01_iso_times": q_d01, "D02_day_latency": q_d02, "M04_trust": q_m04, "M05_text_quality": q_m05,
     "M06_percentiles": q_m06, "R02_json_guards": q_r02, "R03_kept_order": q_r03, "R04_aliases": q_r04, "R06_sightings": q_r06, "R08_payloads": q_r08, "C22_refusals": q_c22, "G05_place_writes": q_g05, "G08_primary_source": q_g08,
-    "G12_stamps": q_g12, "G13_enrichment": q_g13, "T10_retention": q_t10, "S05_mailbox": q_s05, "S09_companies": q_s09, "S10_csv_sink": q_s10,
+    "G12_stamps": q_g12, "G13_enrichment": q_g13, "T10_retention": q_t10, "S09_companies": q_s09, "S10_csv_sink": q_s10,
 }
 _STOP = ", ".join(f"'{w}'" for w in (*STOPWORDS, *COMPANY_STOPWORDS))
 _P = lambda p: p.replace("'", "''")
@@ -450,9 +441,6 @@ select l.l_suppkey, count(*) as records, count(*) filter (l_orderkey = holder) a
     "G13_enrichment": """select ['free', 'paid', 'agentic', 'exhausted'][(l_orderkey % 3 + 1 + (l_returnflag = 'R')::int)::int] as tier,
   case when l_linenumber > 3 and l_returnflag = 'R' or l_returnflag = 'R' then 'timeout+empty' when l_linenumber > 3 then 'timeout' else '' end as reasons, count(*) as n from lineitem group by 1, 2""",
     "T10_retention": f"select event_id, event_type from events where event_type in ('signup', 'purchase') or ts >= timestamp '{AS_OF}' - interval 10 days",
-    "S05_mailbox": """with w as (select user_id, arg_max({'e': ts::date, 'i': event_id}, (ts, event_id)) as w from events where event_type = 'click' group by 1),
-f as (select e.user_id, event_id, w.w is null or (w.w.e = ts::date and event_id > w.w.i) or ts::date > w.w.e as fresh from events e left join w on e.user_id = w.user_id)
-select user_id, count(*) filter (fresh) as "read", max(event_id) filter (fresh) as water from f group by 1""",
     "S09_companies": """with n as (select p_partkey, trim([p_brand, '  ' || upper(p_brand), '--', repeat('x', 300), '', p_brand || ' '][(p_partkey % 6 + 1)::int]) as name, case when p_size > 25 then p_type end as platform, p_size % 4 as status from part)
 select lower(name) as key, arg_min(name, p_partkey) as name, max(status) as status, arg_min(platform, p_partkey) filter (platform is not null) as platform, count(*) as n from n where name <> '' and regexp_matches(name, '[A-Za-z0-9]') and length(name) <= 200 group by 1""",
     "S10_csv_sink": f"with {LISTINGS} select stratum, flag, count(*) as n, count(*) filter (gone) as gone from listings group by 1, 2",

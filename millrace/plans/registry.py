@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.provenance", "operators.survival", "operators.measures", "operators.selection", "operators.rules", "operators.merges", "operators.cohorts", "operators.content", "operators.upkeep", "operators.parts", "operators.policy", "operators.verdicts", "operators.places", "operators.clusters", "functions.names", "functions.pay", "functions.urls", "streaming.events", "sources.feeds")
+MODULES = ("operators.provenance", "operators.survival", "operators.measures", "operators.selection", "operators.rules", "operators.merges", "operators.cohorts", "operators.content", "operators.upkeep", "operators.parts", "operators.policy", "operators.verdicts", "operators.places", "operators.clusters", "functions.names", "functions.pay", "functions.urls", "streaming.events", "sources.feeds", "sources.mailbox")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
