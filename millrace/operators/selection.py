@@ -407,11 +407,13 @@ def q_u01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_u04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered reason sets: append if absent, remove in place; token overlap of two texts' first words."""
-    words = F.slice(F.split("text", r"\s+"), 1, 6)
+    """A whole text's words as an ordered set of reasons: one appended if absent, one removed in place; how many of three words it shares."""
+    words = F.split("text", r"\s+")
     add = lambda a, x: F.when(F.array_contains(a, x), a).otherwise(F.concat(a, F.array(F.lit(x))))
     rows = table(spark, sf_dir, "documents").withColumn("w", words)
-    return rows.select("doc_id", F.array_join(add(F.col("w"), "the"), " ").alias("added"), F.array_join(F.filter("w", lambda x: x != "the"), " ").alias("removed"), F.size(F.array_intersect("w", F.array(F.lit("the"), F.lit("of"), F.lit("de")))).alias("overlap"))
+    told = lambda a: F.md5(F.array_join(a, " "))
+    removed = F.filter("w", lambda x: x != "the")
+    return rows.select("doc_id", told(add(F.col("w"), "the")).alias("added"), told(removed).alias("removed"), F.size(removed).alias("n_removed"), F.size(F.array_intersect("w", F.array(F.lit("the"), F.lit("of"), F.lit("de")))).alias("overlap"))
 
 
 def q_u06(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,9 +516,9 @@ select company_id, listing_id from r where n <= 8 or floor(i * 8 / n) <> floor((
 select company_id, count(*) as n, 'new' as kind from (select * from a except select * from b) group by 1
 union all select company_id, count(*), 'kept' from (select * from a intersect select * from b) group by 1
 union all select company_id, count(*), 'gone' from (select * from b except select * from a) group by 1""",
-    "U04_ordered_sets": r"""with w as (select doc_id, regexp_split_to_array(text, '[ \t\n\x0b\f\r]+')[1:6] as w from documents)
-select doc_id, array_to_string(case when list_contains(w, 'the') then w else w || ['the'] end, ' ') as added, array_to_string(list_filter(w, lambda x: x <> 'the'), ' ') as removed,
-  len(list_intersect(list_distinct(w), ['the', 'of', 'de']))::int as overlap from w""",
+    "U04_ordered_sets": r"""with w as (select doc_id, regexp_split_to_array(text, '[ \t\n\x0b\f\r]+') as w from documents), k as (select *, list_filter(w, lambda x: x <> 'the') as removed from w)
+select doc_id, md5(array_to_string(case when list_contains(w, 'the') then w else w || ['the'] end, ' ')) as added, md5(array_to_string(removed, ' ')) as removed, len(removed)::int as n_removed,
+  len(list_intersect(list_distinct(w), ['the', 'of', 'de']))::int as overlap from k""",
     "U06_trusted_sets": f"""with {LISTINGS}, f as (select distinct listing_id // 10 as k from listings where quantity = 50)
 select o_custkey, case when count(k) > 0 then 'trusted' else 'downgraded' end as state, count(*) as n from orders left join f on o_orderkey = k group by 1""",
     "W03_baselines": """select o_orderkey, round(quantile_cont(o_totalprice, 0.9) over (w rows between 10 preceding and 1 preceding), 4) as p90,
