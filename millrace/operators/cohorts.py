@@ -12,12 +12,12 @@ AS_OF = "1996-01-01"
 # Placeholders for a place, separators of several places.
 PLACEHOLDERS = ("n/a", "na", "tbd", "tba", "unknown", "various", "varies", "multiple locations", "see job description", "see jd", "see description", "not specified", "none", "-", "--")
 SEPARATORS = r"(?i)\s*[|;]\s*|\s+/\s+|\s+&\s+|\s+or\s+"
-_EDGES = r"^[\s\-–—.,;:|]+|[\s\-–—.,;:|]+$"
+EDGES = " \t\n\x0b\f\r-–—.,;:|"
 
 
 def place(c: Column) -> Column:
     """Edges and spaces trimmed, placeholders and empties null; case is kept."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(c, _EDGES, ""), r"\s+", " "))
+    s = F.trim(F.regexp_replace(F.btrim(c, F.lit(EDGES)), r"\s+", " "))
     return let(s, lambda x: F.when((x != "") & ~F.lower(x).isin(*PLACEHOLDERS), x))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import NAMED, mentions_a_stem, named, tokens, tokens_sql
+from millrace.functions.phrases import counted, counted_sql, said
 from millrace.operators.rules import ladder
 from millrace.plans.projections import let, table
 
@@ -24,17 +25,9 @@ EXPIRED_SAID = (
     "no longer accepting applications", "the job you are trying to apply for has been filled", "this job has closed", "position has been filled", "job expired",
 )
 
-
-def said(phrases: tuple[str, ...]) -> str:
-    """A pattern of phrases: slots parted by ` + `, each one of its wordings, all between word edges, in any case."""
-    slot = lambda x: "(?:" + "|".join(r"\s+".join(w.replace(".", r"\.") for w in wording.split()) for wording in x.split("|")) + ")"
-    return r"(?i)\b(?:" + "|".join(r"\s+".join(slot(x) for x in phrase.split(" + ")) for phrase in phrases) + r")\b"
-
-
 NOT_FOUND, EXPIRED = said(NOT_FOUND_SAID), said(EXPIRED_SAID)
-#: A count, up to forty characters of what is counted, and "jobs in": the head of a list of postings.
-COUNT, COUNTED = r"\b\d[\d,]{0,4}\+?", r"[\w\s,&/+.\-]{0,40}?"
-LISTING = rf"(?i){COUNT}\s+{COUNTED}\bjobs\s+in\b"
+#: What a list of postings counts at its head, and how many characters its words may take.
+JOBS_IN, JOBS_GAP = r"\bjobs\s+in\b", 40
 PLACEHOLDER = r"(?i)your engaging (?:footer )?subtitle goes here|widget title goes here|lorem ipsum is simply dummy text"
 NO_RESULTS = r"(?i)no jobs? (?:for|match(?:ing)?) your search|no (?:results|positions|openings) (?:found )?for your search"
 BRANDS = ("shopify", "atos", "circle", "canva", "lhh", "walmart", "atrium", "adobe", "salesforce", "allstate", "general motors", "centene", "visa", "abbvie")
@@ -55,7 +48,7 @@ def rejection(title: Column, text: Column) -> Column:
     """Why a text is no posting, in fixed order; null if nothing is found. Only the head is read for page kinds."""
     head = F.substring(text, 1, HEAD)
     return ladder([
-        (F.char_length(F.trim(text)) < LEAST_CHARS, "truncated"), (head.rlike(BLOCKED), "head_block"), (head.rlike(LISTING), "listing"), (head.rlike(NOT_FOUND), "not_found"), (head.rlike(PLACEHOLDER), "placeholder"),
+        (F.char_length(F.trim(text)) < LEAST_CHARS, "truncated"), (head.rlike(BLOCKED), "head_block"), (counted(head, JOBS_IN, JOBS_GAP), "listing"), (head.rlike(NOT_FOUND), "not_found"), (head.rlike(PLACEHOLDER), "placeholder"),
         (head.rlike(NO_RESULTS), "no_results"), (text.rlike(EXPIRED), "expired"), (F.trim(text).rlike(r"^[\[{]") & F.trim(text).rlike(r"[\]}]\s*\z") & F.try_parse_json(text).isNotNull(), "config_blob"), (mismatched(title, text), "off_title"),
     ])
 
@@ -169,7 +162,8 @@ def mismatched_sql(title: str, text: str) -> str:
 
 def rejection_sql(title: str) -> str:
     head = f"substr(text, 1, {HEAD})"
-    steps = [(f"regexp_matches({head}, '{_P(p)}')", name) for p, name in ((BLOCKED, "head_block"), (LISTING, "listing"), (NOT_FOUND, "not_found"), (PLACEHOLDER, "placeholder"), (NO_RESULTS, "no_results"))]
+    steps = [(f"regexp_matches({head}, '{_P(p)}')", name) for p, name in ((BLOCKED, "head_block"), (NOT_FOUND, "not_found"), (PLACEHOLDER, "placeholder"), (NO_RESULTS, "no_results"))]
+    steps.insert(1, (counted_sql(head, JOBS_IN, JOBS_GAP), "listing"))
     steps = [(f"length(trim(text)) < {LEAST_CHARS}", "truncated"), *steps, (f"regexp_matches(text, '{_P(EXPIRED)}')", "expired"), ("regexp_matches(trim(text), '^[\\[{]') and json_valid(text)", "config_blob"), (mismatched_sql(title, "text"), "off_title")]
     return "case " + " ".join(f"when {c} then '{n}'" for c, n in steps) + " end"
 

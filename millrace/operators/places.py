@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.phrases import said
 from millrace.operators.cohorts import places
-from millrace.operators.content import said
 from millrace.plans.bounds import sent_whole
 from millrace.plans.projections import table
 

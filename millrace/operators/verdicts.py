@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import STEM, STOPWORDS, mentions_a_stem, tokens, tokens_sql
-from millrace.operators.content import _JUNK_SQL, COUNT, LISTING, PAGES, is_junk, pages_read, rejection, rejection_sql, said
+from millrace.functions.phrases import counted, counted_sql, said
+from millrace.operators.content import _JUNK_SQL, JOBS_GAP, JOBS_IN, PAGES, is_junk, pages_read, rejection, rejection_sql
 from millrace.operators.parts import AFTER, BEFORE, COMPANY_STOPWORDS, acronym, acronym_in, stems
 from millrace.operators.rules import ladder
 
@@ -24,7 +25,7 @@ AVERAGES_SAID = ("national average", "bls", "median salary in the")
 
 DEMAND, EXPLAINER, AVERAGES = said(DEMANDS), said(EXPLAINER_SAID), said(AVERAGES_SAID)
 POSTING = rf"{said(POSTING_WORDS)}|{said(POSTING_SAID).replace(chr(92) + 'b', '')}"
-RESULTS = rf"(?i){COUNT}\s+results\b"
+RESULTS = r"\bresults\b"
 PROSE = rf'(?i)"(?:job[_\-\s]?)?(?:description|content)"\s*:[^"]*"[^"]{{{LEAST_PROSE},}}'
 #: A header of demands is empty where the next line with anything in it is a header as deep or less deep, or where none follows.
 EMPTY_DEMANDS = "(?mi)" + "|".join(rf"^#{{{d}}}[ \t]+[^\n]*{DEMAND.removeprefix('(?i)')}[^\n]*(?:\s*\z|\s*\n#{{1,{d}}}[ \t]+\S)" for d in range(1, 7))
@@ -45,7 +46,7 @@ def widening(title: Column, text: Column) -> Column:
     """What makes a text that isn't rejected doubtful; null if nothing does."""
     explains = F.coalesce(title, F.lit("")).rlike(EXPLAINER) | text.rlike(EXPLAINER)
     return ladder([
-        (text.rlike(EMPTY_DEMANDS), "empty_requirements_header"), (wrapped_blob(text), "json_config_blob_unanchored"), (text.rlike(LISTING) | text.rlike(RESULTS), "listing_index"),
+        (text.rlike(EMPTY_DEMANDS), "empty_requirements_header"), (wrapped_blob(text), "json_config_blob_unanchored"), (counted(text, JOBS_IN, JOBS_GAP) | counted(text, RESULTS, 0), "listing_index"),
         (explains & text.rlike(AVERAGES), "career_explainer_seo"),
     ])
 
@@ -121,7 +122,7 @@ a as (select *, list_filter(runs, lambda t: length(t) >= 2 and t not in ({_STOP}
   case when length(joined) >= 2 and (len(list_filter(runs, lambda r: length(r) < 3)) > 0 or regexp_matches(name, '[^a-z0-9\s]')) and joined not in ({_STOP}) then joined end as short from m),
 f as (select *, case when reason is not null then null when body = '' then 'empty' when hollow then 'empty_requirements_header'
     when k > 0 and (k - 1) * 5 <= length(body) and json_valid(substr(body, k::bigint)) and not regexp_matches(body, '{_Q(PROSE)}') then 'json_config_blob_unanchored'
-    when regexp_matches(body, '{_Q(LISTING)}') or regexp_matches(body, '{_Q(RESULTS)}') then 'listing_index'
+    when {counted_sql("body", JOBS_IN, JOBS_GAP)} or {counted_sql("body", RESULTS, 0)} then 'listing_index'
     when (regexp_matches(title, '{_Q(EXPLAINER)}') or regexp_matches(body, '{_Q(EXPLAINER)}')) and regexp_matches(body, '{_Q(AVERAGES)}') then 'career_explainer_seo' end as doubt,
   regexp_matches(body, '{_Q(POSTING)}') and length(body) >= {LEAST_CLEAN}
     and len(list_filter(case when title <> '' then {tokens_sql("title")} else {tokens_sql("coalesce(company, '')")} end, lambda t: contains(lower(body), substr(t, 1, {STEM})))) > 0 as clean,
