@@ -70,13 +70,6 @@ def q_f02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", name.like(like_escaped("50%_o")).alias("percent"), name.like(like_escaped("\\b")).alias("slash"))
 
 
-def q_f08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """what fetches a supplier's page next: its interface, plain HTML after a miss, a browser after two empty HTML reads."""
-    empty = F.pmod(F.col("s_suppkey"), F.lit(4))
-    lane = F.when(F.col("s_acctbal") >= 3000, "interface").when(empty >= 2, "browser").when(F.col("s_acctbal") < 0, "none").otherwise("html")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", lane.alias("lane"))
-
-
 def q_f17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """candidates of the expiry cascade, never-checked first, by nation."""
     checked = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_orderdate").alias("checked"))
@@ -180,23 +173,6 @@ def q_u05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.size(F.array_intersect(a, b)).alias("shared"), (F.size(F.array_except(a, b)) == 0).alias("inside"))
 
 
-TILE, BLOB = r"(?i)^(?:view|see|browse|explore)\s+(?:all\s+)?(?:\d+\s+)?(?:open\s+)?(?:jobs?|roles?|positions?|openings?)\b|\b\d+\s+(?:open\s+)?(?:jobs?|positions?|openings?)$", r"(?i)(?:\b(?:full[- ]time|part[- ]time|remote|hybrid|posted|req(?:uisition)?)\b.*){3,}"
-
-
-def q_x10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that are tiles of lists, or blobs of metadata."""
-    tail = F.element_at(F.array(*[F.lit(x) for x in ("", " 12 open positions", " Full-time Remote Posted today", " remote")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    title = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("See all 5 open "), F.lit("roles in "), "p_name")).otherwise(F.concat("p_name", tail))
-    return table(spark, sf_dir, "part").select("p_partkey", title.rlike(TILE).alias("tile"), title.rlike(BLOB).alias("blob"))
-
-
-def q_x13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised titles that hold all words of a wanted one."""
-    key = F.trim(F.regexp_replace(title_key(F.col("title")), "[^a-z0-9]+", " "))
-    wanted = F.array(F.lit("senior"), F.lit("ring"))
-    return named(spark, sf_dir).select("p_partkey", key.alias("key"), (F.size(F.array_except(wanted, F.split(key, " "))) == 0).alias("matches"))
-
-
 def q_x14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acronyms and stems of companies, and whether documents of the same number mention the acronym."""
     start = F.element_at(F.array(*[F.lit(x) for x in ("AT&T ", "C3 ", "", "The Corporate Group", "L'Acme ")]), (F.col("p_partkey") % 5 + 1).cast("int"))
@@ -212,16 +188,7 @@ def q_x17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_x19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return addresses(spark, sf_dir).select("page_id", posting_id(F.col("url")).alias("posting_id"), F.col("url").rlike(r"(?i)://(?:boards\.greenhouse\.io|(?:api|jobs)\.lever\.co|jobs\.ashbyhq\.com)/").alias("direct"))
-
-
-def q_x28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The address to apply at: a platform's own, else the company's, else any; and which kind it is."""
-    u = F.col("url")
-    kind = F.when(u.rlike(r"(?i)greenhouse\.io|lever\.co"), 1).when(u.rlike(r"(?i)linkedin\.com|indeed\.com"), 3).otherwise(2)
-    rows = addresses(spark, sf_dir).withColumn("site", F.floor(F.col("page_id") / 7)).withColumn("kind", kind)
-    best = F.min(F.struct("kind", "page_id", "url")).alias("b")
-    return rows.groupBy("site").agg(best).select("site", F.col("b.page_id").alias("page_id"), F.element_at(F.array(F.lit("platform"), F.lit("company"), F.lit("aggregator")), F.col("b.kind")).alias("destination"))
+    return addresses(spark, sf_dir).select("page_id", posting_id(F.col("url")).alias("posting_id"))
 
 
 def q_d01(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,15 +214,6 @@ def q_m04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(F.max(F.struct(rank.alias("r"), "l_linenumber", "l_partkey", "provenance")).alias("b")).select("l_orderkey", "b.provenance", "b.l_linenumber")
 
 
-def q_m05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of a text: a band of length, sections, and no boilerplate, rounded to thousandths."""
-    words = F.regexp_count("text", F.lit(r"[A-Za-z0-9_]+"))
-    band = F.when(words.between(200, 1200), 1.0).when(words.between(80, 2500), 0.6).otherwise(0.2)
-    section = F.least(F.lit(1.0), F.regexp_count("text", F.lit("\n")) / 5.0)
-    boiler = F.when(F.lower("text").contains("all rights reserved"), 1.0).otherwise(0.0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(0.4 * band + 0.4 * section + 0.2 * (1 - boiler), 3).alias("quality"))
-
-
 def q_m06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated and nearest-rank percentiles and the median of prices by priority."""
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
@@ -293,22 +251,6 @@ def q_r06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per
 
 
-def q_r08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payload keys renamed and checked: allowed keys, scalars of at most 200 characters."""
-    payload = F.from_json("props", "map<string,string>")
-    renamed = F.transform_keys(payload, lambda k, v: F.when(k == "k", "referrer_host").otherwise(k))
-    fine = F.forall(F.map_keys(renamed), lambda k: k.isin("referrer_host", "kind")) & F.forall(F.map_values(renamed), lambda v: F.char_length(v) <= 200)
-    rows = table(spark, sf_dir, "events").select(renamed.alias("m"), fine.alias("fine"))
-    return rows.groupBy("fine", (F.element_at("m", "referrer_host").cast("int") % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def q_c22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that refuse, told in their first 400 characters."""
-    refusal = r"(?i)\b(?:i\s+(?:cannot|can't|am unable to)\s+(?:help|assist|comply)|as an ai\b)"
-    text = F.when(F.col("turn") % 7 == 3, F.concat(F.lit("I cannot help with that. "), "text")).when(F.col("turn") % 7 == 5, F.concat(F.lit("x" * 420), F.lit(" as an AI "), "text")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").groupBy("role", F.substring(text, 1, 400).rlike(refusal).alias("refuses")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def q_g05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An observation writes its four place columns together, and only if one of them differs."""
     old = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")).alias("nation"), F.col("c_mktsegment").alias("kind"), (F.col("c_acctbal") < 0).alias("remote"), F.lit("seed").alias("by"))
@@ -320,15 +262,6 @@ def q_g05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", kept.alias("k"), F.coalesce(differs, F.lit(False)).alias("written")).select("c_custkey", "k.*", "written")
 
 
-def q_g08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strictly matched posting as a parsed record: title and company of the row stay, its own source id goes where another row holds it."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("listing_id"), "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
-    held = rows.groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("holder"), F.countDistinct("l_orderkey").alias("rows"))
-    out = rows.join(held, ["l_suppkey", "l_partkey"])
-    own = (F.col("rows") == 1) | (F.col("l_orderkey") == F.col("holder"))
-    return out.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("records"), F.count_if(own).alias("with_source_id"), F.sum(F.floor(F.col("l_extendedprice"))).cast("long").alias("pay"))
-
-
 def q_g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stamp is set once per version: rows of an older version, or without one, are stamped anew."""
     version = F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 4).cast("int"))
@@ -336,14 +269,6 @@ def q_g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.coalesce(version, F.lit(-1)).alias("before")).agg(F.count_if(stamped).alias("stamped"), F.count(F.lit(1)).alias("n"))
 
 
-def q_g13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """enrichment's outcome: a tier that failed falls back to the next, its reason is added once."""
-    tiers, k = F.array(*[F.lit(t) for t in ("free", "paid", "agentic", "exhausted")]), F.pmod(F.col("l_orderkey"), F.lit(3)).cast("int")
-    failed = F.col("l_returnflag") == "R"
-    reasons = F.array_distinct(F.concat(F.when(F.col("l_linenumber") > 3, F.array(F.lit("timeout"))).otherwise(F.array().cast("array<string>")), F.when(failed, F.array(F.lit("timeout"), F.lit("empty"))).otherwise(F.array().cast("array<string>"))))
-    return table(spark, sf_dir, "lineitem").groupBy(F.element_at(tiers, k + 1 + failed.cast("int")).alias("tier"), F.array_join(reasons, "+").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def q_t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events older than ten days go, but for durable kinds."""
     keep = F.col("event_type").isin(*DURABLE) | (F.col("ts") >= F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 10 days"))
@@ -368,11 +293,11 @@ def q_s10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "F02_like_escape": q_f02, "F08_lanes": q_f08, "F17_cascade": q_f17, "J02_companies": q_j02, "J04_fallback_name": q_j04, "J05_pipeline": q_j05, "J06_semi_anti": q_j06, "J07_latest_kind": q_j07, "W01_latest_row": q_w01,
-    "W02_top_five": q_w02, "W04_gaps": q_w04, "W05_shares": q_w05, "W06_rolling_day": q_w06, "O01_sort_tokens": q_o01, "U02_two_cohorts": q_u02, "U03_new_patterns": q_u03, "U05_shared_words": q_u05, "X10_tiles": q_x10,
-    "X13_match_titles": q_x13, "X14_acronyms": q_x14, "X17_domains": q_x17, "X19_posting_ids": q_x19, "X28_apply_address": q_x28, "D01_iso_times": q_d01, "D02_day_latency": q_d02, "M04_trust": q_m04, "M05_text_quality": q_m05,
-    "M06_percentiles": q_m06, "R02_json_guards": q_r02, "R03_kept_order": q_r03, "R04_aliases": q_r04, "R06_sightings": q_r06, "R08_payloads": q_r08, "C22_refusals": q_c22, "G05_place_writes": q_g05, "G08_primary_source": q_g08,
-    "G12_stamps": q_g12, "G13_enrichment": q_g13, "T10_retention": q_t10, "S09_companies": q_s09, "S10_csv_sink": q_s10,
+    "F02_like_escape": q_f02, "F17_cascade": q_f17, "J02_companies": q_j02, "J04_fallback_name": q_j04, "J05_pipeline": q_j05, "J06_semi_anti": q_j06, "J07_latest_kind": q_j07, "W01_latest_row": q_w01,
+    "W02_top_five": q_w02, "W04_gaps": q_w04, "W05_shares": q_w05, "W06_rolling_day": q_w06, "O01_sort_tokens": q_o01, "U02_two_cohorts": q_u02, "U03_new_patterns": q_u03, "U05_shared_words": q_u05, 
+    "X14_acronyms": q_x14, "X17_domains": q_x17, "X19_posting_ids": q_x19, "D01_iso_times": q_d01, "D02_day_latency": q_d02, "M04_trust": q_m04, 
+    "M06_percentiles": q_m06, "R02_json_guards": q_r02, "R03_kept_order": q_r03, "R04_aliases": q_r04, "R06_sightings": q_r06, "G05_place_writes": q_g05, 
+    "G12_stamps": q_g12, "T10_retention": q_t10, "S09_companies": q_s09, "S10_csv_sink": q_s10,
 }
 _STOP = ", ".join(f"'{w}'" for w in (*STOPWORDS, *COMPANY_STOPWORDS))
 _P = lambda p: p.replace("'", "''")
@@ -382,7 +307,6 @@ _JOBID = r"nullif(regexp_extract(url, '[?&]gh_jid=(\d+)', 1), '')"
 _ORDER_SQL = lambda t: ", ".join(f"{c} {'desc' if down else 'asc'} nulls last" for c, down in ORDERS[t]) + ", o_orderkey"
 ORACLES = {
     "F02_like_escape": r"""with n as (select p_partkey, p_name || [' 50%_off', ' 50 percent off', ' a\b', ''][(p_partkey % 4 + 1)::int] as name from part) select p_partkey, contains(name, '50%_o') as percent, contains(name, '\b') as slash from n""",
-    "F08_lanes": "select s_suppkey, case when s_acctbal >= 3000 then 'interface' when s_suppkey % 4 >= 2 then 'browser' when s_acctbal < 0 then 'none' else 'html' end as lane from supplier",
     "F17_cascade": "with c as (select o_custkey, max(o_orderdate) as checked from orders where o_orderstatus = 'F' group by 1) select c_custkey, checked, row_number() over (partition by c_nationkey order by checked nulls first, c_custkey)::int as turn from customer left join c on c_custkey = o_custkey",
     "J02_companies": f"with {LISTINGS} select s_nationkey, count(*) filter (stratum in ('O', 'F')) as main, count(*) filter (stratum in ('O', 'F', 'P')) as with_open from listings join supplier on company_id = s_suppkey group by 1",
     "J04_fallback_name": "select coalesce(nullif(case when p_partkey % 5 = 0 then '' else p_brand end, ''), '(none)') as name, count(*) as n from documents left join part on doc_id = p_partkey group by 1",
@@ -401,9 +325,6 @@ select c_mktsegment, c_nationkey, round(share, 6) as share, at_risk, round(exp(s
     "U03_new_patterns": f"with p as (select ts, event_type || ':' || (user_id % 500) as pattern from events) select pattern from p where ts >= timestamp '{AS_OF}' except select pattern from p where ts >= timestamp '2024-01-10' and ts < timestamp '{AS_OF}'",
     "U05_shared_words": """with w as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as a, list_distinct(string_split(lower(p_type || ' ring ' || string_split(p_name, ' ')[1]), ' ')) as b from part)
 select p_partkey, len(list_intersect(a, b))::int as shared, len(list_filter(a, lambda x: not list_contains(b, x))) = 0 as inside from w""",
-    "X10_tiles": f"""with t as (select p_partkey, case when p_partkey % 9 = 0 then 'See all 5 open roles in ' || p_name else p_name || ['', ' 12 open positions', ' Full-time Remote Posted today', ' remote'][(p_partkey % 4 + 1)::int] end as title from part)
-select p_partkey, regexp_matches(title, '{TILE}') as tile, regexp_matches(title, '{BLOB}') as blob from t""",
-    "X13_match_titles": f"with {NAMED}, k as (select p_partkey, trim(regexp_replace({title_key_sql('title')}, '[^a-z0-9]+', ' ', 'g')) as key from named) select p_partkey, key, list_has_all(string_split(key, ' '), ['senior', 'ring']) as matches from k",
     "X14_acronyms": rf"""with c as (select doc_id, string_split(p_name, ' ')[1] as w, case when p_partkey % 5 = 3 then 'The Corporate Group' else ['AT&T ', 'C3 ', '', '', 'L''Acme '][(p_partkey % 5 + 1)::int] || string_split(p_name, ' ')[1] end as company, text from documents join part on doc_id = p_partkey),
 b as (select doc_id, lower(company) as low, regexp_replace(lower(company), '[^a-z0-9]', '', 'g') as joined, lower(case doc_id % 3 when 0 then text || ' by A.T&T-' || w || ', 3M' when 1 then text || ' of c-3 ' || w else text end) as body from c),
 a as (select *, case when length(joined) >= 2 and (len(list_filter(regexp_extract_all(low, '[a-z0-9]+'), lambda r: length(r) < 3)) > 0 or regexp_matches(low, '[^a-z0-9\s]')) and joined not in ({_STOP}) then joined end as acronym,
@@ -411,16 +332,12 @@ a as (select *, case when length(joined) >= 2 and (len(list_filter(regexp_extrac
 select doc_id, acronym, array_to_string(case when acronym is null or list_contains(runs, acronym) then runs else list_append(runs, acronym) end, ' ') as stems,
   coalesce(regexp_matches(body, '{BEFORE}' || array_to_string(regexp_extract_all(acronym, '.'), '[^a-z0-9]?') || '{AFTER}'), false) as mentioned from a""",
     "X17_domains": f"with {ADDRESSES} select case when array_to_string({_LABELS}[-2:], '.') in ({', '.join(repr(x) for x in TWO_LABEL)}) then array_to_string({_LABELS}[-3:], '.') else array_to_string({_LABELS}[-2:], '.') end as domain, count(*) as n from addresses group by 1",
-    "X19_posting_ids": rf"with {ADDRESSES} select page_id, coalesce({_JOBID}, nullif(regexp_extract(url, '/jobs?/(\d+)', 1), '')) as posting_id, regexp_matches(url, '(?i)://(?:boards\.greenhouse\.io|(?:api|jobs)\.lever\.co|jobs\.ashbyhq\.com)/') as direct from addresses",
-    "X28_apply_address": rf"""with {ADDRESSES}, k as (select *, page_id // 7 as site, case when regexp_matches(url, '(?i)greenhouse\.io|lever\.co') then 1 when regexp_matches(url, '(?i)linkedin\.com|indeed\.com') then 3 else 2 end as kind from addresses)
-select site, page_id, ['platform', 'company', 'aggregator'][kind] as destination from k qualify row_number() over (partition by site order by kind, page_id) = 1""",
+    "X19_posting_ids": rf"with {ADDRESSES} select page_id, coalesce({_JOBID}, nullif(regexp_extract(url, '/jobs?/(\d+)', 1), '')) as posting_id from addresses",
     "D01_iso_times": """with s as (select event_id, date_trunc('second', ts)::timestamp as s from events)
 select event_id, case event_id % 4 when 3 then null else date_diff('microsecond', s - case event_id % 4 when 1 then interval 2 hours else interval 0 hours end, timestamp '2024-02-01')::double / 86400000000::double end as days from s""",
     "D02_day_latency": f"with {LISTINGS} select stratum, round(avg(date_diff('microsecond', first_seen::date::timestamp, last_seen) / 86400000000.0), 6) as mean_days, count(*) filter (last_seen < first_seen::date::timestamp) as before from listings group by 1",
     "M04_trust": """with p as (select *, ['feed_string', 'ats_structured', 'jd_regex', 'llm_extract'][(l_partkey % 4 + 1)::int] as provenance, [1, 4, 3, 2][(l_partkey % 4 + 1)::int] as r from lineitem)
 select l_orderkey, provenance, l_linenumber from p qualify row_number() over (partition by l_orderkey order by r desc, l_linenumber desc, l_partkey desc) = 1""",
-    "M05_text_quality": r"""with w as (select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) as w, least(1.0::double, (length(text) - length(replace(text, chr(10), ''))) / 5.0::double) as s, contains(lower(text), 'all rights reserved') as b from documents)
-select doc_id, round(0.4::double * case when w between 200 and 1200 then 1.0 when w between 80 and 2500 then 0.6 else 0.2 end::double + 0.4::double * s + 0.2::double * (1 - b::int), 3) as quality from w""",
     "M06_percentiles": "select o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) as p90, quantile_disc(o_totalprice, 0.9) as p90_nearest, round(median(o_totalprice), 4) as median from orders group by 1",
     "R02_json_guards": """with t as (select case event_id % 5 when 0 then '{bad' when 1 then '[1, 2]' when 2 then '{"k": "x"}' else props end as t from events),
 v as (select json_valid(t) as valid, case when json_valid(t) then json_type(t) = 'OBJECT' else false end as object, case when json_valid(t) then try_cast(json_extract_string(t, '$.k') as int) end as k from t)
@@ -428,18 +345,11 @@ select valid, object, k is not null as number, count(*) as n, sum(k)::bigint as
     "R03_kept_order": "select l_orderkey, coalesce(string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey, l_returnflag) filter (l_returnflag <> 'R'), '') as parts from lineitem group by 1",
     "R04_aliases": """with k as (select event_id, json_extract_string(props, '$.k') as k from events) select case event_id % 3 when 0 then 't' || k when 1 then 'n' || k end as title, count(*) as n from k group by 1""",
     "R06_sightings": "select user_id, event_type, min(ts) as first_seen, max(ts) as last_seen, count(*) as n from events group by 1, 2",
-    "R08_payloads": "select len(list_filter(json_keys(props), lambda k: k not in ('k', 'kind'))) = 0 as fine, json_extract_string(props, '$.k')::int % 10 as digit, count(*) as n from events group by 1, 2",
-    "C22_refusals": r"""with t as (select role, case turn % 7 when 3 then 'I cannot help with that. ' || text when 5 then repeat('x', 420) || ' as an AI ' || text else text end as t from conversations)
-select role, regexp_matches(substr(t, 1, 400), '(?i)\b(?:i\s+(?:cannot|can''t|am unable to)\s+(?:help|assist|comply)|as an ai\b)') as refuses, count(*) as n from t group by 1, 2""",
     "G05_place_writes": """with o as (select o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) % 25 as s from orders group by 1),
 r as (select c_custkey, case when c_custkey % 3 > 0 then c_nationkey end as nation, c_mktsegment as kind, c_acctbal < 0 as remote, s::int as s from customer left join o on o_custkey = c_custkey),
 d as (select *, s is not null and (s is distinct from nation or remote) as w from r)
 select c_custkey, case when w then s else nation end as nation, kind, case when w then false else remote end as remote, case when w then 'order' else 'seed' end as "by", w as written from d""",
-    "G08_primary_source": """with h as (select l_suppkey, l_partkey, min(l_orderkey) as holder from lineitem group by 1, 2)
-select l.l_suppkey, count(*) as records, count(*) filter (l_orderkey = holder) as with_source_id, sum(floor(l_extendedprice))::bigint as pay from lineitem l join h on l.l_suppkey = h.l_suppkey and l.l_partkey = h.l_partkey group by 1""",
     "G12_stamps": "with v as (select case when o_orderkey % 3 > 0 then (o_orderkey % 4)::int end as v from orders) select coalesce(v, -1) as before, count(*) filter (v is distinct from 2) as stamped, count(*) as n from v group by 1",
-    "G13_enrichment": """select ['free', 'paid', 'agentic', 'exhausted'][(l_orderkey % 3 + 1 + (l_returnflag = 'R')::int)::int] as tier,
-  case when l_linenumber > 3 and l_returnflag = 'R' or l_returnflag = 'R' then 'timeout+empty' when l_linenumber > 3 then 'timeout' else '' end as reasons, count(*) as n from lineitem group by 1, 2""",
     "T10_retention": f"select event_id, event_type from events where event_type in ('signup', 'purchase') or ts >= timestamp '{AS_OF}' - interval 10 days",
     "S09_companies": """with n as (select p_partkey, trim([p_brand, '  ' || upper(p_brand), '--', repeat('x', 300), '', p_brand || ' '][(p_partkey % 6 + 1)::int]) as name, case when p_size > 25 then p_type end as platform, p_size % 4 as status from part)
 select lower(name) as key, arg_min(name, p_partkey) as name, max(status) as status, arg_min(platform, p_partkey) filter (platform is not null) as platform, count(*) as n from n where name <> '' and regexp_matches(name, '[A-Za-z0-9]') and length(name) <= 200 group by 1""",

@@ -18,7 +18,6 @@ TERMINAL = ("exhausted", "agentic", "agentic_exhausted", "expired")
 STALE, UNVERIFIED, ARCHIVE, GRACE, CEILING = 14, 5, 30, 14, 60
 BACKOFF_HOURS, RETRY_LIMIT = (1, 4, 24), 3
 LOW_SIGNAL_CHARS, APPLY_MEAN, STRONG_AXES, STRONG = 1500, 3.5, 3, 4
-_LEVEL = r"(?i)\b(senior|sr\.?|staff|principal|junior|jr\.?|entry[- ]?level|director|vp|vice president|head of|chief|lead|manager|associate|intern|level\s*[1-9])\b"
 #: What a model says instead of an answer, and how many characters of one are looked at.
 REFUSAL_SAID = (
     "i'd|id + be happy to", "i'm|im + ready|not able", "i + need|notice|cannot|can't|don't have|only have", "unable to + complete|reformat|draft|answer", "you've|you have + provided|shared", "please + provide|share|give + the",
@@ -185,13 +184,6 @@ def q_c05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(classification().alias("class"), classification(("location_fit",)).alias("without_location")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_c11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C11: the bundle of structural axes per posting."""
-    docs = table(spark, sf_dir, "documents")
-    words = F.regexp_count("text", F.lit(r"[A-Za-z0-9_]+"))
-    return docs.select("doc_id", F.lower("text").rlike(_LEVEL).alias("seniority"), F.col("text").rlike(r"\d{2,}").alias("pay_stated"), text_quality(words, F.col("text").contains("\n"), F.lit(0.0)).alias("quality"))
-
-
 def q_c12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = staleness(staleness_rows(spark, sf_dir), as_of())
     return out.select("listing_id", F.col("stale_now").alias("is_stale"), F.col("status_now").alias("status"), "evidence")
@@ -260,7 +252,7 @@ p as (select *, status in ('discovered', 'reviewing') as passive, now - case whe
 m as (select *, is_stale or (passive and last_seen < cutoff) as m1 from p),
 g as (select *, m1 or (not m1 and passive and expiry is not distinct from 'inconclusive' and coalesce(checked_at < now - interval 5 days, false) and gated) as m2 from m)"""
 QUERIES = {
-    "X21_scrub": q_x21, "X23_shadow_hash": q_x23, "X24_legitimacy": q_x24, "D03_durations": q_d03, "D04_precision": q_d04, "D05_freshness": q_d05, "C05_classification": q_c05, "C11_axes": q_c11, "C12_staleness": q_c12,
+    "X21_scrub": q_x21, "X23_shadow_hash": q_x23, "X24_legitimacy": q_x24, "D03_durations": q_d03, "D04_precision": q_d04, "D05_freshness": q_d05, "C05_classification": q_c05, "C12_staleness": q_c12,
     "C18_tiers": q_c18, "C19_deadman": q_c19, "C20_weighted_score": q_c20, "C23_scan_errors": q_c23, "C25_report_verdict": q_c25, "C27_warnings": q_c27,
 }
 ORACLES = {
@@ -279,8 +271,6 @@ select listing_id, case when rw > ro then last_seen else first_seen end as poste
     "D05_freshness": f"""with {LISTINGS}, a as (select listing_id % 17 = 0 or listing_id % 5 = 0 as bad, case when listing_id % 9 > 0 then last_seen end as d, (epoch_us(timestamp '{AS_OF}') - epoch_us(last_seen)) / 86400000000.0::double as age from listings where last_seen < timestamp '{AS_OF}')
 select (case when bad then 0.1 when d is null then 0.3 when age <= 7 then 1.0 when age <= 30 then 0.7 when age <= 90 then 0.4 else 0.2 end)::double as freshness, count(*) as n from a group by 1""",
     "C05_classification": f"with {SCORES} select {_class_sql()} as class, {_class_sql('location_fit')} as without_location, count(*) as n from scores group by all",
-    "C11_axes": rf"""select doc_id, regexp_matches(lower(text), '{_LEVEL}') as seniority, regexp_matches(text, '\d{{2,}}') as pay_stated,
-  round(0.4 * case when len(regexp_extract_all(text, '[A-Za-z0-9_]+')) between 200 and 1200 then 1.0 else 0.5 end + 0.4 * contains(text, chr(10))::int + 0.2, 3)::double as quality from documents""",
     "C12_staleness": f"""with {_STALE}, c as (select *, m2 and not ((last_seen >= cutoff and not (passive and gated and expiry is distinct from 'live')) or not passive) as stale_now,
   passive and unverifiable and first_seen < now - interval 14 days as cand from g),
 e as (select *, case when passive and last_seen < now - interval 30 days then 'not_seen_30_days' when cand and first_seen < now - interval 60 days then 'unverifiable_ceiling'
