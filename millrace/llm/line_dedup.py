@@ -15,11 +15,9 @@ from millrace.llm.common import cut, packed, split_join, table, texts
 #: Sentences cover a text without a gap; a line ends with the sentence that holds a line feed.
 SENTENCES = re.compile(r"[^\n.!?]+[.!?]*\n?|[\n.!?]+")
 PARAGRAPHS = re.compile(r"(?:[^\n]|\n(?!\n))+\n*|\n+")
-#: A sentence of fewer words inside a longer line is told by its neighbours as well.
-ALONE = 8
 
 
-def _lines(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+def _lines(text: str, alone: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(first sentence, sentence or -1, start, length, what is hashed) of a text's units."""
     pieces = [(m.start(), m.end(), m.group().encode().lower().split(), "\n" in m.group()) for m in SENTENCES.finditer(text)]
     said = [b" ".join(p[2]) for p in pieces]
@@ -32,17 +30,17 @@ def _lines(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
             yield first, -1, pieces[first][0], end - pieces[first][0], b" ".join([said[j] for j in own])
         for j in own if len(own) > 1 else ():
             start, stop, words, _ = pieces[j]
-            yield first, j, start, stop - start, said[j] if len(words) >= ALONE else b"\x1f".join([said[j - 1] if j else b"", said[j], said[j + 1] if j + 1 < len(said) else b""])
+            yield first, j, start, stop - start, said[j] if len(words) >= alone else b"\x1f".join([said[j - 1] if j else b"", said[j], said[j + 1] if j + 1 < len(said) else b""])
         first = k + 1
 
 
-def _paragraphs(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+def _paragraphs(text: str, alone: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     for k, m in enumerate(PARAGRAPHS.finditer(text)):
         if words := m.group().encode().lower().split():
             yield k, -1, m.start(), m.end() - m.start(), b" ".join(words)
 
 
-def _sentences(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+def _sentences(text: str, alone: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     for k, m in enumerate(SENTENCES.finditer(text)):
         if words := m.group().encode().lower().split():
             yield k, -1, m.start(), m.end() - m.start(), b" ".join(words)
@@ -51,13 +49,13 @@ def _sentences(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
 UNITS = {"line": _lines, "paragraph": _paragraphs, "sentence": _sentences}
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line") -> DataFrame:
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", alone: int = 1) -> DataFrame:
     """(doc_id, unit, sentence, start, length, digest), offsets in code points.
 
     A unit is a line (or a paragraph, or a sentence) with a word, however short; `unit` numbers it by its first sentence (paragraph) in the
     text. Digests are of normalised units: A-Z lowered, words joined by one space. A line of several sentences may
-    hold a passage that stands elsewhere in a longer or shorter line, so its sentences are units too: of ALONE words or
-    more by themselves, shorter ones together with the sentence before and after them in the text, as "Yes." alone tells nothing.
+    hold a passage that stands elsewhere in a longer or shorter line, so its sentences are units too, however short; with `alone` above 1
+    sentences of fewer words are told together with the sentence before and after them in the text.
     """
     split = UNITS[unit]
 
@@ -65,7 +63,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
         for batch in batches:
             ids, rows = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for *place, said in split(text.as_py()):
+                for *place, said in split(text.as_py(), alone):
                     ids.append(doc)
                     rows.append((*place, hashlib.md5(said).digest()))
             number, sentence, start, length, digest = zip(*rows, strict=True) if rows else [()] * 5
@@ -127,14 +125,13 @@ n as (
   from (select *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from u)
   window before as (partition by doc_id order by k rows between unbounded preceding and 1 preceding)),
 c as (
-  select *, coalesce(lag(said) over (partition by doc_id order by k), '') as said_before, coalesce(lead(said) over (partition by doc_id order by k), '') as said_after,
-    min(k) over (partition by doc_id, line) as unit, count(*) filter (n_words > 0) over (partition by doc_id, line) as spoken
+  select *, min(k) over (partition by doc_id, line) as unit, count(*) filter (n_words > 0) over (partition by doc_id, line) as spoken
   from n),
 d as (
   select doc_id, unit, -1 as sentence, min(start) as start, sum(length) as length, string_agg(said, ' ' order by k) filter (n_words > 0) as digest
   from c where spoken > 0 group by doc_id, line, unit
   union all
-  select doc_id, unit, k, start, length, case when n_words >= 8 then said else said_before || chr(31) || said || chr(31) || said_after end
+  select doc_id, unit, k, start, length, said
   from c where n_words > 0 and spoken > 1),
 f as (
   select *, first_value(doc_id) over w as first_doc_id, first_value(unit) over w as first_unit,
