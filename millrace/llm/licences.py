@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -93,6 +94,13 @@ TEMPLATES = {
     **{f"{short}-{v if '.' in v else v + '.0'}": (f"licensed under the {name} version {v}", (_GNU + _GNU_END[v[0]]).format(thing=thing, name=name, version=v)) for short, name, thing, versions in _GNU_KINDS for v in versions},
     **{f"cc-{kind}-{v}": (f"licensed under cc {kind} {v}", f"this work is licensed under a creative commons {name} {v} {where} license") for kind, name in _CC_KINDS.items() for v, where in _CC_VERSIONS.items()},
 }
+#: Tags and short forms, by label: they count only as a whole.
+EXACT = {
+    **{label: (f"spdx-license-identifier: {label}",) for label in TEMPLATES},
+    **{f"{short}-{v if '.' in v else v + '.0'}": (f"spdx-license-identifier: {short}-{v if '.' in v else v + '.0'}", f"licensed under {short}v{v}", f"licensed under the {short}v{v}", f"{name} version {v}") for short, name, _, versions in _GNU_KINDS for v in versions},
+    **{f"cc-{kind}-{v}": (f"spdx-license-identifier: cc-{kind}-{v}", f"cc {kind} {v}") for kind in _CC_KINDS for v in _CC_VERSIONS},
+    "apache-2.0": ("spdx-license-identifier: apache-2.0", "apache license version 2.0"), "mpl-2.0": ("spdx-license-identifier: mpl-2.0", "mozilla public license version 2.0"), "epl-2.0": ("spdx-license-identifier: epl-2.0", "eclipse public license version 2.0"),
+}
 #: Bytes of words: 0-9, a-z after lowering A-Z, and all beyond ASCII; the rest parts words.
 _SPLIT = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -161,19 +169,56 @@ class Automaton:
             yield len(words) - 1, size, state
 
 
+class Spans:
+    """Places taken so far, by their start in chunks of bounded size, so that a new one is compared with its neighbours alone.
+
+    Places may overlap, each by less than half of a later one; `reach` is the length of the longest.
+    """
+
+    def __init__(self, most: int = 512):
+        self.most, self.reach = most, 0
+        self.chunks: list[list[tuple[int, int]]] = [[]]
+        self.firsts: list[int] = [-1]
+
+    def add(self, start: int, end: int) -> None:
+        self.reach = max(self.reach, end - start)
+        k = bisect_right(self.firsts, start) - 1
+        insort(self.chunks[k], (start, end))
+        if len(self.chunks[k]) > self.most:
+            half = self.chunks[k][self.most // 2 :]
+            del self.chunks[k][self.most // 2 :]
+            self.chunks.insert(k + 1, half)
+            self.firsts.insert(k + 1, half[0][0])
+
+    def most_shared(self, start: int, end: int) -> int:
+        """The most words that one place taken shares with start..end."""
+        k, found = max(0, bisect_right(self.firsts, start - self.reach) - 1), 0
+        while k < len(self.chunks) and self.firsts[k] < end:
+            chunk = self.chunks[k]
+            for at in range(bisect_left(chunk, (start - self.reach,)), len(chunk)):
+                a, b = chunk[at]
+                if a >= end:
+                    return found
+                found = max(found, min(end, b) - max(start, a))
+            k += 1
+        return max(0, found)
+
+
 class Scanner:
     """Words of a text to base places and covered templates."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], least: int, gap: int, cover: float):
-        self.least, self.gap, self.cover = least, gap, cover
+    def __init__(self, templates: dict[str, tuple[str, ...]], least: int, gap: int, cover: float, exact: dict[str, tuple[str, ...]] | None = None):
+        self.least, self.gap = least, gap
         self.number: dict[bytes, int] = {}
         spell = lambda text: [self.number.setdefault(w, len(self.number)) for w in text.encode().translate(_SPLIT).split()]
         self.phrases = [(spell(p), label) for p, label in PHRASES.items()]
-        self.labels, self.templates = [], []
-        for label, wordings in templates.items():
-            for wording in wordings:
-                self.labels.append(label)
-                self.templates.append(spell(wording))
+        self.labels, self.templates, self.covers = [], [], []
+        for some, share in ((templates, cover), (exact or {}, 1.0)):
+            for label, wordings in some.items():
+                for wording in wordings:
+                    self.labels.append(label)
+                    self.templates.append(spell(wording))
+                    self.covers.append(share)
         self.automaton = Automaton(self.templates)
 
     def scan(self, text: str) -> tuple:
@@ -206,15 +251,17 @@ class Scanner:
                         matches.setdefault(t, []).append((a + end + 1 - size, last + 1 - size, size))
         found, most = [], 0.0
         for t, own in matches.items():
-            need = self.cover * len(self.templates[t])
+            need = self.covers[t] * len(self.templates[t])
             for covered, start, end in self.chains(own):
-                most = max(most, covered / len(self.templates[t]))
+                if self.covers[t] < 1 or covered >= need:
+                    most = max(most, covered / len(self.templates[t]))
                 if covered >= need:
                     found.append((-covered, -covered / len(self.templates[t]), start, end, t))
         # Versions of one text share most words: where two templates cover one place the one with more words there stays.
-        out: list[dict] = []
+        out, taken = [], Spans()
         for covered, share, start, end, t in sorted(found):
-            if all(2 * (min(end, o["end"]) - max(start, o["start"])) < end - start for o in out):
+            if taken.most_shared(start, end) * 2 < end - start:
+                taken.add(start, end)
                 out.append({"start": start, "end": end, "label": self.labels[t], "covered": -covered, "share": -share})
         return sorted(out, key=lambda o: o["start"]), most
 
@@ -236,17 +283,18 @@ class Scanner:
                 j -= 1
             best.append(most)
             begin.append(first)
-        out: list[tuple[int, int, int]] = []
+        out, taken = [], Spans()
         for k in sorted(range(len(best)), key=lambda k: (-best[k], begin[k])):
             start, end = begin[k], matches[k][0] + matches[k][2]
-            if all(end <= a or start >= b for _, a, b in out):
+            if not taken.most_shared(start, end):
+                taken.add(start, end)
                 out.append((best[k], start, end))
         return out
 
 
 @lru_cache(maxsize=4)
-def scanner(templates: tuple[tuple[str, tuple[str, ...]], ...], least: int, gap: int, cover: float) -> Scanner:
-    return Scanner(dict(templates), least, gap, cover)
+def scanner(templates: tuple[tuple[str, tuple[str, ...]], ...], least: int, gap: int, cover: float, exact: bool) -> Scanner:
+    return Scanner(dict(templates), least, gap, cover, EXACT if exact else None)
 
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, least: int = 3, gap: int = 12, cover: float = 0.75) -> DataFrame:
@@ -255,7 +303,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     One narrow pass; the automaton is a fixed model of the templates' words, built once in each worker. `templates` (label to texts) stand
     in for those carried here, so that whole texts of longer licences can be given. A text's
     matching statistics give its longest matches with any template; matches of `least` words are chained in
-    template order over gaps of at most `gap` words, and a place that covers a template to `cover` is a span (first word, word
+    template order over gaps of at most `gap` words, and a place that covers a template to `cover`, or a tag or short form as a whole, is a span (first word, word
     after the last, label, covered words, share) and adds its label; of versions that cover one place the best stays. The score is the
     largest covered share, and 0.5 at least where a base phrase stands. Null and empty texts have no words, empty labels and
     score 0; repeated rows are scanned each, rows without an id too; very long texts are scanned whole; other columns are ignored; an empty table gives an empty result.
@@ -265,7 +313,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wordings = tuple((label, tuple(texts_of)) for label, texts_of in (TEMPLATES if templates is None else templates).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scanner(wordings, least, gap, cover)
+        own = scanner(wordings, least, gap, cover, templates is None)
         for batch in batches:
             rows = list(zip(*[own.scan(t.as_py()) for t in batch.column("text")], strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, kind) for x, (_, kind) in zip(rows, fields, strict=True)]], ["doc_id", *[f for f, _ in fields]])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from millrace.llm import licences
 
@@ -62,3 +63,27 @@ def test_base_places_of_real_documents(spark):
         assert labels <= set(g.labels.split(",")) and 0 <= g.score <= 1
         hits += bool(at)
     assert hits > 5
+
+
+def test_tags_and_short_forms(spark):
+    texts = ["SPDX-License-Identifier: MIT", "Licensed under GPLv3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "CC BY-SA 4.0", "SPDX-License-Identifier: Foo", "spdx license identifier", "// SPDX-License-Identifier: GPL-2.0-or-later", "Apache License, Version 2.0", "Licensed under the AGPLv3."]
+    got = [r.labels for r in scan(spark, texts)]
+    assert got == ["mit", "gpl-3.0", "gpl,gpl-3.0", "cc-by,cc-by-sa-4.0", "", "", "gpl-2.0", "apache-2.0", "agpl-3.0"]
+
+
+def test_many_notices_in_one_text():
+    """100,000 notices take seconds, and spans are those of a plain comparison with all that are taken."""
+    own = licences.Scanner(licences.TEMPLATES, 3, 12, 0.75, licences.EXACT)
+    began = time.perf_counter()
+    assert len(own.scan("licensed under the mit license. " * 100_000)[7]) == 100_000
+    own.scan("this software is provided. free software foundation. " * 100_000)
+    assert time.perf_counter() - began < 60
+    rng, taken, plain = random.Random(2), licences.Spans(most=8), []
+    for _ in range(3000):
+        start = rng.randrange(4000)
+        end = start + rng.choice([1, 2, 5, 40])
+        assert taken.most_shared(start, end) == max([0, *(min(end, b) - max(start, a) for a, b in plain)])
+        if taken.most_shared(start, end) * 2 < end - start:
+            taken.add(start, end)
+            plain.append((start, end))
+    assert len(plain) > 300
