@@ -13,6 +13,7 @@ most the sum of their coordinates' minima. Two uses of the groups make this a di
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -290,12 +291,13 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     words between ASCII white space); component_id is the smallest doc_id reachable by links. Null and
     empty texts have no shingles and link with nothing; texts shorter than the width are one shingle; equal
     texts and repeated rows share a component; an empty table gives an empty result; rows
-    without an id have no row in it. Slabs and tiles
+    without an id are counted and have no component, as they can be the smallest of none, and link nobody. Slabs and tiles
     bound what a task holds; the number of both follows the input. A candidate component of more than `tile` hashes is cut
     into parts, and each pair of parts is a group of its own.
     """
     threshold = Threshold(over, of)
-    rows = texts(docs, id_col, text_col).filter("doc_id is not null")
+    whole = texts(docs, id_col, text_col)
+    rows = whole.filter("doc_id is not null")
     n_slabs = slabs_for(rows, slab_bytes)
     n_buckets = max(64, n_slabs // 8)
     slabs = rows.withColumn("slab", slab(n_slabs))
@@ -411,7 +413,18 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = sets.groupBy("g", "i", "j").applyInArrow(verified, "u long, v long")
     classes = components(links)
     out = split_join(all_rows.filter("kind = 0").select("doc_id", "n", "node"), classes, ["node"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")).unionByName(_unnamed(whole, width))
+
+
+def _unnamed(whole: DataFrame, width: int) -> DataFrame:
+    """The rows without an id, with the size of their set; nothing moves."""
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(shingle_sets([text.as_py()], width)[0]) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    return whole.filter("doc_id is null").mapInArrow(sized, "doc_id long, n_shingles long, component_id long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

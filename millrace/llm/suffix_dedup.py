@@ -179,13 +179,14 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts are UTF-8 bytes, null is empty, matches never cross documents; texts shorter than `length` keep all; a very long
     text is a slab of its own; an empty table gives an empty result; other columns are ignored.
-    Rows that share a doc_id are judged each, and none is earlier than another; rows
-    without an id have no row in the result. Strings are judged on the input, not on
+    Rows that share a doc_id are judged each, and none is earlier than another; a row without an id is
+    neither earlier nor later than any, so it keeps all and takes nothing from others. Strings are judged on the input, not on
     what is left. Texts move once, into slabs; a string that many documents hold goes on once from each
     slab, as the slab itself removes its later copies; where `hot` documents share a gram, windows are dealt out by
     their own content, not by the gram, so that the contexts of a common line don't meet in one task.
     """
-    rows = texts(docs, id_col, text_col).filter("doc_id is not null")
+    whole = texts(docs, id_col, text_col)
+    rows = whole.filter("doc_id is not null")
     n_slabs = slabs_for(rows, slab_bytes)
     n_buckets = max(64, n_slabs // 2)
     slabs = rows.select("doc_id", F.col("text").cast("binary").alias("raw")).withColumn("slab", slab(n_slabs))
@@ -298,7 +299,9 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sent = slabs.groupBy("slab").cogroup(shared.groupBy("slab")).applyInArrow(strings, "bucket int, slab int, heads binary, data binary")
     spans = sent.groupBy("bucket").applyInArrow(judged, "slab int, heads binary")
-    return slabs.groupBy("slab").cogroup(spans.groupBy("slab")).applyInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    unnamed = whole.filter("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), none.alias("starts"), none.alias("ends"))
+    return slabs.groupBy("slab").cogroup(spans.groupBy("slab")).applyInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>").unionByName(unnamed)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
