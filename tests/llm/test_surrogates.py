@@ -81,3 +81,27 @@ def test_distinct_and_coreferent_over_real_documents(spark):
     assert there and all(len(v) == 1 for v in there.values()) and all(len(v) == 1 for v in back.values())
     assert not {k for k in there} & {k for k in back}
     assert sum(r.n_entities for r in out.values()) > 100
+
+
+def test_titles_hyphens_apostrophes_and_particles(spark):
+    out = run(spark, "Dr. Anna Smith wrote. Contact Anna Smith, or Smith's office.", "Prof. Dr. Ivan Petrov", "Herr Jean-Luc Picard left", "Mr. O'Brien and Mrs. O'Brien-Smith", "Frau Müller und Müller", "Herr Ludwig van Beethoven", "Sra. de la Cruz", "Smith alone")
+    given, sur = re.match(r"Dr\. (\w+) (\w+) wrote", out[0]).groups()
+    assert out[0] == f"Dr. {given} {sur} wrote. Contact {given} {sur}, or {sur}'s office." and "Smith" not in out[0] and "Anna" not in out[0]
+    assert re.fullmatch(r"Prof\. Dr\. \w+ \w+", out[1]) and not {"Ivan", "Petrov"} & set(out[1].split())
+    assert re.fullmatch(r"Herr \p{Lu}\w+-\p{Lu}\w+ \w+ left".replace(r"\p{Lu}", "[A-Z]"), out[2]) and not re.search("Jean|Luc|Picard", out[2])
+    assert re.fullmatch(r"Mr\. O'[A-Z]\w+ and Mrs\. O'[A-Z]\w+-[A-Z]\w+", out[3]) and not re.search("Brien|Smith", out[3])
+    a, b = re.fullmatch(r"Frau (\w+) und (\w+)", out[4]).groups()
+    assert a == b != "Müller"
+    assert re.fullmatch(r"Herr \w+ van \w+", out[5]) and not re.search("Ludwig|Beethoven", out[5])
+    assert re.fullmatch(r"Sra\. de la \w+", out[6]) and "Cruz" not in out[6]
+    assert out[7] == "Smith alone"
+
+
+def test_national_phones_ibans_and_long_addresses(spark):
+    texts = ["call 555-123-4567 now", "(212) 555 0187", "212.555.0187", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80:1:2::8a2e:370", "std::vector and a::b", "10:20:30", "123-456-78901", "1234-555-123-4567"]
+    out = run(spark, *texts)
+    assert re.fullmatch(r"call \d{3}-\d{3}-\d{4} now", out[0]) and re.fullmatch(r"\(\d{3}\) \d{3} \d{4}", out[1]) and re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", out[2])
+    assert digits(out[1]) == digits(out[2]) != "2125550187" and out[0] != texts[0]
+    assert out[3].replace(" ", "") == out[4] != texts[4] and re.fullmatch(r"DE\d{2}( \d{4}){4} \d{2}", out[3])
+    assert re.fullmatch(r"([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", out[5]) and out[5] != texts[5] and re.fullmatch(r"[a-f]{2}\d{2}:\d:\d::\d[a-f]\d[a-f]:\d{3}", out[6])
+    assert out[7:] == texts[7:]
