@@ -79,10 +79,13 @@ def learnt_dictionaries(sample: DataFrame, size: int, most_bytes: int, block: in
 
     Sizes of the bounded sample's rows are summed in that order, so that what comes to the driver is bounded in bytes.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = sample.withColumn("_upto", F.sum(F.octet_length("text")).over(order)).filter(F.col("_upto") <= most_bytes)
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sample.groupBy("label", "doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
+    within = sizes.withColumn("_upto", F.sum("size").over(order)).filter(F.col("_upto") <= most_bytes).select("doc_id", "_upto")
+    # Ids and sizes alone are put in order, a row for each learnt document; texts stay where they lie.
+    taken = sample.join(F.broadcast(within), "doc_id")
     found: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in taken.select("label", "text").orderBy("label", "_upto").collect():
+    for row in taken.select("label", "text").orderBy("label", "_upto", "text").collect():
         found[row.label] += blocks(row.text.encode(), block)
     return [dictionary(found[label], size) for label in (0, 1)]
 
