@@ -20,7 +20,7 @@ PARTICLES = r"(?:(?:von|van|der|den|zu|de|da|di|du|del|la|le|bin|al) )*"
 LABELS = r"password|passwd|pwd|secret|token|api[_-]?key"
 # What counts as an entity, in this order; at one place the first that matches wins.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": rf"\b(?i:{LABELS})(?: ?= ?[\"']?[0-9A-Za-z_+/.-]{{8,}}|: ?[\"']?(?=[A-Za-z_+/.-]*\d)[0-9A-Za-z_+/.-]{{8,}})",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -33,9 +33,9 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Two capitalised words, each pair of them: what may be a name without a title.
-PAIR = rf"(?=(?<![\p{{L}}'’-])({WORD} {WORD})(?![\p{{L}}]))"
+PAIR = rf"(?<![\p{{L}}'’-])(?=({WORD} {WORD})(?!\p{{L}}))"
 #: A cheap test that every text with an entity passes.
-MAYBE = rf"[@+]|(?i:{LABELS})|AKIA|\d{{3}}|\d\.\d|\b(?:{MALE}|{FEMALE}|{NEUTRAL})\b|::|(?:[0-9A-Fa-f]+:){{7}}|{CYRILLIC_MALE}|{CYRILLIC_FEMALE}"
+MAYBE = rf"[@+]|(?i:{LABELS})|AKIA|\d{{3}}|\d\.\d|\b(?:{MALE}|{FEMALE}|{NEUTRAL})\b|:[0-9A-Fa-f]{{0,4}}:|{CYRILLIC_MALE}|{CYRILLIC_FEMALE}"
 SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe fi ga ge go ha he hi jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo".split(),),
     "cyrillic": ("ба бе би бо да де ди до ка ки ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се си со та те ти то ва ве ви".split(),),
