@@ -90,19 +90,6 @@ def q_a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(spark, ("click", "error", "offer", "purchase", "signup", "view", "withdrawn"), "status", counts)
 
 
-def usage(events: DataFrame) -> DataFrame:
-    """Of each event's user, spend in the 24 hours and calls in the 60 seconds up to it, by range windows."""
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    back = lambda s: Window.partitionBy("user_id").orderBy("_us").rangeBetween(-s * 1_000_000, 0)
-    return events.withColumn("_us", ts).select(
-        "event_id", F.round(F.sum("value").over(back(86_400)), 4).alias("spend_24h"), F.count(F.lit(1)).over(back(60)).alias("calls_60s"), F.count(F.lit(1)).over(back(86_400)).alias("calls_24h")
-    )
-
-
-def q_a12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage(table(spark, sf_dir, "events"))
-
-
 def error_budget(events: DataFrame, days: int = 1) -> DataFrame:
     """Per half-open window, errors and their share, kinds seen, and how many kinds the window before didn't have."""
     kind = F.concat_ws(":", "event_type", (F.col("user_id") % 10).cast("string"))
@@ -255,7 +242,7 @@ def q_a29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MEAN = "(" + " + ".join(AXES) + ") / 6.0"
 QUERIES = {
-    "A06_conversion": q_a06, "A07_latency": q_a07, "A08_concentration": q_a08, "A09_miss_log": q_a09, "A10_corpus_stats": q_a10, "A11_status_counts": q_a11, "A12_usage": q_a12,
+    "A06_conversion": q_a06, "A07_latency": q_a07, "A08_concentration": q_a08, "A09_miss_log": q_a09, "A10_corpus_stats": q_a10, "A11_status_counts": q_a11,
     "A13_error_budget": q_a13, "A14_duration_bands": q_a14, "A15_out_of_band": q_a15, "A16_disagreement": q_a16, "A17_coverage": q_a17, "A18_terminal_runs": q_a18, "A19_rectification": q_a19,
     "A20_votes": q_a20, "A21_blocked_hosts": q_a21, "A22_parse_log": q_a22, "A23_distinct_names": q_a23, "A24_title_search": q_a24, "A26_block_report": q_a26, "A28_probe_status": q_a28, "A29_local_day": q_a29,
 }
@@ -282,10 +269,6 @@ select count(days) as n, round(quantile_disc(days, 0.5), 6) as p50, round(quanti
     "A10_corpus_stats": "select (select count(*) from lineitem) as n_lineitem, (select count(*) from supplier) as n_supplier, (select max(o_orderdate) from orders) as newest",
     "A11_status_counts": """select v.status, coalesce(n, 0) as n from (values ('click'), ('error'), ('offer'), ('purchase'), ('signup'), ('view'), ('withdrawn')) v(status)
 left join (select event_type as status, count(*) as n from events group by 1) using (status)""",
-    "A12_usage": """select event_id,
-  round(sum(value) over (partition by user_id order by ts range between interval 24 hours preceding and current row), 4) as spend_24h,
-  count(*) over (partition by user_id order by ts range between interval 60 seconds preceding and current row) as calls_60s,
-  count(*) over (partition by user_id order by ts range between interval 24 hours preceding and current row) as calls_24h from events""",
     "A13_error_budget": """with r as (select date_trunc('day', ts)::timestamp as start, event_type || ':' || (user_id % 10)::varchar as kind, event_type = 'error' as bad from events),
 k as (select distinct start, kind from r where bad),
 w as (select k.start, count(*) as new_kinds from k anti join (select start + interval 1 day as start, kind from k) b on k.start = b.start and k.kind = b.kind group by 1)

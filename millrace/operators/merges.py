@@ -116,15 +116,6 @@ def q_g07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("id", "f.field", F.col("f.new").isNull().alias("cleared"))
 
 
-def q_g09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running count of empty scans since the last yield."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumn("yields", (F.col("event_type") == "purchase").cast("int"))
-    rows = rows.withColumn("run", F.sum("yields").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = Window.partitionBy("user_id", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("event_id", F.sum(1 - F.col("yields")).over(per).alias("empty_scans"))
-
-
 def q_g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-way merge: a side that didn't change takes the other's; lists add up, capped."""
     old, new = _balances(spark, sf_dir)
@@ -175,7 +166,7 @@ _FOLD = """select key, source, min((seen, tie)) as first, max(seen) as last_seen
     max({{'n': length(text), 'a': -epoch_us(seen), 'b': -tie, 'text': text}}) filter (text is not null) as text,
     max({{'rank': rank, 'a': -epoch_us(seen), 'b': -tie, 'posted': posted}}) filter (posted is not null) as posted from sightings where {where} group by key, source"""
 _STATE = "select key, list(source order by first) as sources, max(last_seen) as last_seen, count(pay_at) > 0 as paid, max(text).text as text, max(posted).rank as rank from ({fold}) group by key"
-QUERIES = {"G01_upsert": q_g01, "G04_keyed_merge": q_g04, "G06_retention": q_g06, "G07_changes": q_g07, "G09_empty_scans": q_g09, "G10_three_way": q_g10, "G14_event_gate": q_g14, "G15_rename": q_g15, "R01_json_states": q_r01, "R05_ordered_places": q_r05}
+QUERIES = {"G01_upsert": q_g01, "G04_keyed_merge": q_g04, "G06_retention": q_g06, "G07_changes": q_g07, "G10_three_way": q_g10, "G14_event_gate": q_g14, "G15_rename": q_g15, "R01_json_states": q_r01, "R05_ordered_places": q_r05}
 ORACLES = {
     "G01_upsert": f"""with {LISTINGS}, sightings as (select part_id as key, flag || stratum as source, last_seen as seen, listing_id as tie, case when listing_id % 5 > 0 then priority || repeat('x', (quantity % 7)::int) end as text,
     case when listing_id % 3 = 0 then price end as pay, case when quantity % 4 > 0 then first_seen end as posted, case when quantity % 4 > 0 then (quantity % 4)::int end as rank from listings),
@@ -193,8 +184,6 @@ union all select id, coalesce(nb, ob), coalesce(ns, os), 'coalesce' from j""",
     "G06_retention": "select case when ts < timestamp '2024-01-15' and event_type not in ('signup', 'purchase') then 'reaped' else 'kept' end as fate, event_type, count(*) as n from events group by all",
     "G07_changes": """with j as (select s_suppkey as id, s_acctbal as ob, case when c_acctbal > 0 then c_acctbal end as nb, s_name as os, c_name as ns from supplier join customer on s_suppkey = c_custkey where c_custkey % 4 = 0)
 select id, 's_name' as field, ns is null as cleared from j where os is distinct from ns union all select id, 'balance', nb is null from j where ob is distinct from nb""",
-    "G09_empty_scans": """with r as (select *, sum((event_type = 'purchase')::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from events)
-select event_id, (sum((event_type <> 'purchase')::int) over (partition by user_id, run order by ts, event_id rows unbounded preceding))::bigint as empty_scans from r""",
     "G10_three_way": """select s_suppkey as id, case when (case when c_acctbal > 0 then c_acctbal end) is not distinct from s_acctbal then case when s_suppkey % 8 = 0 then s_acctbal + 1 else s_acctbal end else case when c_acctbal > 0 then c_acctbal end end as balance,
   array_to_string(list_sort(list_distinct([1, 2, 3] || range(2, (s_suppkey % 5 + 3)::bigint)))[1:5], ',') as keys from supplier join customer on s_suppkey = c_custkey where c_custkey % 4 = 0""",
     "G14_event_gate": """select event_id, '{"key":"' || json_extract_string(props, '$.k') || '"}' as payload from events where json_extract_string(props, '$.k')::int <= 90 and length(props) <= 200 and (user_id % 3 > 0 or event_type in ('signup', 'purchase'))""",

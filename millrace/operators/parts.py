@@ -119,13 +119,6 @@ def q_w02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).filter("k <= 5").select("l_partkey", "k", "l_orderkey", "l_linenumber", "l_shipdate")
 
 
-def q_w04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's longest and mean gap between successive events, in seconds."""
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    gap = F.timestamp_diff("MICROSECOND", before, F.col("ts")) / 1e6
-    return table(spark, sf_dir, "events").withColumn("gap", gap).groupBy("user_id").agg(F.round(F.max("gap"), 3).alias("longest"), F.round(F.avg("gap"), 3).alias("mean"))
-
-
 def q_w05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of total, running share and how many are at risk, over counted values of each segment."""
     rows = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
@@ -135,13 +128,6 @@ def q_w05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_mktsegment", "c_nationkey", "share", "at_risk", F.round(F.exp(F.sum(F.when(F.col("at_risk") > F.col("n"), F.log(1 - F.col("n") / F.col("at_risk"))).otherwise(0.0)).over(run)), 6).alias("survives"))
 
 
-def q_w06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's count of its user's events in the 24 hours up to it."""
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(-86_400_000_000, 0)
-    rows = table(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
-    return rows.select("event_id", F.count(F.lit(1)).over(w).alias("in_day"))
-
-
 def q_o01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of 25 under every sort token."""
     pages = [table(spark, sf_dir, "orders").orderBy(*ordering(t)).limit(25).select(F.lit(t).alias("token"), "o_orderkey") for t in ORDERS]
@@ -214,13 +200,6 @@ def q_m04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(F.max(F.struct(rank.alias("r"), "l_linenumber", "l_partkey", "provenance")).alias("b")).select("l_orderkey", "b.provenance", "b.l_linenumber")
 
 
-def q_m06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interpolated and nearest-rank percentiles and the median of prices by priority."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.round(F.expr("percentile(o_totalprice, 0.9)"), 4).alias("p90"), F.expr("percentile_disc(0.9) within group (order by o_totalprice)").alias("p90_nearest"), F.round(F.median("o_totalprice"), 4).alias("median")
-    )
-
-
 def q_r02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guards around JSON text: is it valid, an object, and does a field hold a number."""
     text = F.when(F.col("event_id") % 5 == 0, F.lit("{bad")).when(F.col("event_id") % 5 == 1, F.lit("[1, 2]")).when(F.col("event_id") % 5 == 2, F.lit('{"k": "x"}')).otherwise(F.col("props"))
@@ -294,9 +273,9 @@ def q_s10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "F02_like_escape": q_f02, "F17_cascade": q_f17, "J02_companies": q_j02, "J04_fallback_name": q_j04, "J05_pipeline": q_j05, "J06_semi_anti": q_j06, "J07_latest_kind": q_j07, "W01_latest_row": q_w01,
-    "W02_top_five": q_w02, "W04_gaps": q_w04, "W05_shares": q_w05, "W06_rolling_day": q_w06, "O01_sort_tokens": q_o01, "U02_two_cohorts": q_u02, "U03_new_patterns": q_u03, "U05_shared_words": q_u05, 
+    "W02_top_five": q_w02, "W05_shares": q_w05, "O01_sort_tokens": q_o01, "U02_two_cohorts": q_u02, "U03_new_patterns": q_u03, "U05_shared_words": q_u05, 
     "X14_acronyms": q_x14, "X17_domains": q_x17, "X19_posting_ids": q_x19, "D01_iso_times": q_d01, "D02_day_latency": q_d02, "M04_trust": q_m04, 
-    "M06_percentiles": q_m06, "R02_json_guards": q_r02, "R03_kept_order": q_r03, "R04_aliases": q_r04, "R06_sightings": q_r06, "G05_place_writes": q_g05, 
+    "R02_json_guards": q_r02, "R03_kept_order": q_r03, "R04_aliases": q_r04, "R06_sightings": q_r06, "G05_place_writes": q_g05, 
     "G12_stamps": q_g12, "T10_retention": q_t10, "S09_companies": q_s09, "S10_csv_sink": q_s10,
 }
 _STOP = ", ".join(f"'{w}'" for w in (*STOPWORDS, *COMPANY_STOPWORDS))
@@ -315,11 +294,9 @@ ORACLES = {
     "J07_latest_kind": "select user_id, event_id, event_type = 'error' as last_failed from events e where not exists (select 1 from events f where f.user_id = e.user_id and (f.ts > e.ts or f.ts = e.ts and f.event_id > e.event_id))",
     "W01_latest_row": "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
     "W02_top_five": "select l_partkey, row_number() over (partition by l_partkey order by l_shipdate desc, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)::int as k, l_orderkey, l_linenumber, l_shipdate from lineitem qualify k <= 5",
-    "W04_gaps": "with g as (select user_id, date_diff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) / 1e6 as gap from events) select user_id, round(max(gap), 3) as longest, round(avg(gap), 3) as mean from g group by 1",
     "W05_shares": """with c as (select c_mktsegment, c_nationkey, count(*) as n from customer group by 1, 2),
 r as (select *, n / sum(n) over (partition by c_mktsegment) as share, sum(n) over (partition by c_mktsegment order by c_nationkey desc)::bigint as at_risk from c)
 select c_mktsegment, c_nationkey, round(share, 6) as share, at_risk, round(exp(sum(case when at_risk > n then ln(1 - n / at_risk) else 0 end) over (partition by c_mktsegment order by c_nationkey)), 6) as survives from r""",
-    "W06_rolling_day": "select event_id, count(*) over (partition by user_id order by ts range between interval 24 hours preceding and current row) as in_day from events",
     "O01_sort_tokens": " union all ".join(f"(select '{t}' as token, o_orderkey from orders order by {_ORDER_SQL(t)} limit 25)" for t in ORDERS),
     "U02_two_cohorts": "select c_custkey, case when c_acctbal < 0 then 1 else 2 end as cohort from customer where c_acctbal < 0 or c_mktsegment = 'MACHINERY'",
     "U03_new_patterns": f"with p as (select ts, event_type || ':' || (user_id % 500) as pattern from events) select pattern from p where ts >= timestamp '{AS_OF}' except select pattern from p where ts >= timestamp '2024-01-10' and ts < timestamp '{AS_OF}'",
@@ -338,7 +315,6 @@ select event_id, case event_id % 4 when 3 then null else date_diff('microsecond'
     "D02_day_latency": f"with {LISTINGS} select stratum, round(avg(date_diff('microsecond', first_seen::date::timestamp, last_seen) / 86400000000.0), 6) as mean_days, count(*) filter (last_seen < first_seen::date::timestamp) as before from listings group by 1",
     "M04_trust": """with p as (select *, ['feed_string', 'ats_structured', 'jd_regex', 'llm_extract'][(l_partkey % 4 + 1)::int] as provenance, [1, 4, 3, 2][(l_partkey % 4 + 1)::int] as r from lineitem)
 select l_orderkey, provenance, l_linenumber from p qualify row_number() over (partition by l_orderkey order by r desc, l_linenumber desc, l_partkey desc) = 1""",
-    "M06_percentiles": "select o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) as p90, quantile_disc(o_totalprice, 0.9) as p90_nearest, round(median(o_totalprice), 4) as median from orders group by 1",
     "R02_json_guards": """with t as (select case event_id % 5 when 0 then '{bad' when 1 then '[1, 2]' when 2 then '{"k": "x"}' else props end as t from events),
 v as (select json_valid(t) as valid, case when json_valid(t) then json_type(t) = 'OBJECT' else false end as object, case when json_valid(t) then try_cast(json_extract_string(t, '$.k') as int) end as k from t)
 select valid, object, k is not null as number, count(*) as n, sum(k)::bigint as k from v group by 1, 2, 3""",

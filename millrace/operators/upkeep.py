@@ -111,17 +111,8 @@ def q_s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("run").cast("int").alias("run"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_t02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two cursors per user with their own rules: all that was read, and what was processed within a budget of 50."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w))
-    inside = F.col("k") <= 50
-    drained = F.count(F.lit(1)) <= 50
-    return rows.groupBy("user_id").agg(F.max("event_id").alias("read_to"), F.when(drained, F.max("event_id")).otherwise(F.max(F.when(inside, F.col("event_id")))).alias("processed_to"), F.count_if(~inside).alias("left"))
-
-
 QUERIES = {
-    "X20_slugs": q_x20, "X09_clean_title": q_x09, "J14_cities": q_j14, "A30_title_sweep": q_a30, "C21_missing_fields": q_c21, "C26_identity": q_c26, "C29_navigation": q_c29, "G02_free_slots": q_g02, "S12_append_log": q_s12, "T02_two_cursors": q_t02,
+    "X20_slugs": q_x20, "X09_clean_title": q_x09, "J14_cities": q_j14, "A30_title_sweep": q_a30, "C21_missing_fields": q_c21, "C26_identity": q_c26, "C29_navigation": q_c29, "G02_free_slots": q_g02, "S12_append_log": q_s12, 
 }
 _LACKS = "list_filter([case when c_acctbal < 0 then 'pay' end, case when c_nationkey % 5 = 0 then 'place' end, case when c_custkey % 3 = 0 then 'text' end], lambda x: x is not null)"
 
@@ -151,6 +142,4 @@ select page_id, len(e)::int as evidence, len(e) > 0 and not list_contains(e, own
     "G02_free_slots": """with r as (select l_partkey, min(l_suppkey) as o, max(l_suppkey) as w, max(l_linenumber) as rank from lineitem group by 1), p as (select *, row_number() over (partition by w order by rank desc, l_partkey) as place from r)
 select case when w = o then 'same' when rank < 3 then 'no_downgrade' when place > 1 then 'taken' else 'written' end as outcome, count(*) as n from p group by 1""",
     "S12_append_log": "select (event_id % 2 + 1)::int as run, event_type, count(*) as n from events group by all",
-    "T02_two_cursors": """with k as (select *, row_number() over (partition by user_id order by event_id) as k from events)
-select user_id, max(event_id) as read_to, case when count(*) <= 50 then max(event_id) else max(event_id) filter (k <= 50) end as processed_to, count(*) filter (k > 50) as "left" from k group by 1""",
 }
