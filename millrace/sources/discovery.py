@@ -67,9 +67,9 @@ def blocks(pages: DataFrame) -> DataFrame:
 
     def assigned(name: str) -> Column:
         """What stands behind `name =`, without the closing semicolon."""
-        behind = F.trim(F.substring_index(F.substring("b", F.locate(name, F.col("b")), 1 << 30), name, -1))
-        value = F.when(F.startswith(behind, F.lit("=")), F.regexp_replace(F.substring(behind, 2, 1 << 30), r"[\s;]+\z", ""))
-        return F.when(F.col("b").contains(name), F.when(F.ltrim(value).startswith("{"), value))
+        behind = F.substring_index(F.substring("b", F.locate(name, F.col("b")), 1 << 30), name, -1)
+        value = F.regexp_replace(F.regexp_extract(behind, r"(?s)\A\s*=\s*(\{.*)", 1), r"[\s;]+\z", "")
+        return F.when(value != "", value)
 
     typed = lambda t: F.col("a").rlike(rf"""\btype\s*=\s*["']?{t}\b""")
     nuxt, apollo = assigned("__NUXT__"), assigned("__APOLLO_STATE__")
