@@ -108,18 +108,21 @@ def q_a13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duration_bands(runs: DataFrame, last: int = 10, least: int = 5) -> DataFrame:
     """For each run (job, at, id, seconds, good) the p10-p90 band of the good ones among the job's latest others.
 
-    The history is the latest last + 1 runs of the job as of now, less the judged run, then the good ones, then the
-    last of those; too few give no band. A window per job finds the latest, a join on job judges every run.
+    The history is the latest last + 1 runs of the job as of now, less the judged run, then the good ones, then the last of those; too few give no band.
+    Those runs are one short array a job, kept by each task before anything moves; a run meets its job's array and takes its order statistics from it.
     """
     newest = Window.partitionBy("job").orderBy(F.desc("at"), F.desc("id"))
-    recent = runs.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= last + 1)
-    pairs = runs.select("job", "id", "seconds").join(recent.select("job", F.col("id").alias("other"), F.col("seconds").alias("past"), "good", "r"), "job").filter("id <> other and good")
-    pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("job", "id").orderBy("r"))).filter(F.col("k") <= last)
-    p = lambda q: F.expr(f"percentile(past, {q})")
-    bands = pairs.groupBy("job", "id", "seconds").agg(F.count(F.lit(1)).alias("history"), p(0.1).alias("low"), p(0.9).alias("high"))
-    out = runs.select("job", "id", "seconds").join(bands.drop("seconds"), ["job", "id"], "left")
-    enough = F.coalesce("history", F.lit(0)) >= least
-    return out.select("job", "id", "seconds", F.coalesce("history", F.lit(0)).alias("history"), F.round(F.when(enough, F.col("low")), 6).alias("low"), F.round(F.when(enough, F.col("high")), 6).alias("high"))
+    recent = runs.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= last + 1).groupBy("job").agg(F.array_sort(F.collect_list(F.struct("r", "id", "seconds", "good"))).alias("recent"))
+    out = runs.select("job", "id", "seconds").join(recent, "job", "left")
+    past = F.array_sort(F.transform(F.slice(F.filter("recent", lambda x: (x["id"] != F.col("id")) & x["good"]), 1, last), lambda x: x["seconds"]))
+    out = out.select("job", "id", "seconds", F.coalesce(past, F.array().cast("array<double>")).alias("past")).withColumn("history", F.size("past").cast("long"))
+
+    def at(q: float) -> Column:
+        place = (F.size("past") - 1) * F.lit(q)
+        low, high = F.get("past", F.floor(place).cast("int")), F.get("past", F.ceil(place).cast("int"))
+        return F.round(F.when(F.col("history") >= least, low + (high - low) * (place - F.floor(place))), 6)
+
+    return out.select("job", "id", "seconds", "history", at(0.1).alias("low"), at(0.9).alias("high"))
 
 
 def out_of_band(bands: DataFrame, tolerance: float = 0.25, floor: float = 5.0) -> DataFrame:

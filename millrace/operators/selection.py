@@ -263,13 +263,16 @@ def q_j08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def siblings(rows: DataFrame, k: int = 5) -> DataFrame:
-    """The k latest other rows of the same company: take k + 1, drop oneself."""
+    """The k latest other rows of the same company.
+
+    Of each company the k + 1 latest are kept, by each task before anything moves, as one array; a row meets its company's array and drops itself from it.
+    """
     w = Window.partitionBy("company_id").orderBy(F.desc("last_seen"), F.desc("listing_id"))
     rows = rows.groupBy("company_id", "listing_id").agg(F.max("last_seen").alias("last_seen"))
-    top = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select("company_id", F.col("listing_id").alias("sibling"), "r")
-    pairs = rows.select("company_id", "listing_id").join(top, "company_id").filter("listing_id <> sibling")
-    per = Window.partitionBy("company_id", "listing_id").orderBy("r")
-    return pairs.withColumn("k", F.row_number().over(per).cast("long")).filter(F.col("k") <= k)
+    top = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("r", "listing_id"))).alias("top"))
+    others = F.slice(F.filter(F.transform("top", lambda t: t["listing_id"]), lambda x: x != F.col("listing_id")), 1, k)
+    out = rows.select("company_id", "listing_id").join(top, "company_id").select("company_id", "listing_id", F.posexplode(others).alias("place", "sibling"))
+    return out.select("company_id", "listing_id", "sibling", (F.col("place") + 1).cast("long").alias("k"))
 
 
 def q_j09(spark: SparkSession, sf_dir: str) -> DataFrame:
