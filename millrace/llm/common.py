@@ -31,15 +31,10 @@ def packed(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A 64-bit hash of the whole row, nulls in their places: what a row is named by where ids are null or repeated."""
+def row_key(docs: DataFrame, seed: int | None = None) -> Column:
+    """A 64-bit hash of the whole row, nulls in their places: what a row is named by where ids are null or repeated. A seed gives another such hash."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    return F.xxhash64(*cols, *[c.isNull() for c in cols])
-
-
-def by_row(docs: DataFrame) -> DataFrame:
-    """(k, r): the row's key, and the whole row as one struct."""
-    return docs.select(row_key(docs).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    return F.xxhash64(*([] if seed is None else [F.lit(seed)]), *cols, *[c.isNull() for c in cols])
 
 
 def without(docs: DataFrame, gone: DataFrame, most: int = 500_000) -> DataFrame:
@@ -47,18 +42,25 @@ def without(docs: DataFrame, gone: DataFrame, most: int = 500_000) -> DataFrame:
 
     The keys are counted: up to `most` of them (two longs a key at most half full, so 16 MB) go to every task and no
     document moves; more are joined by key. Only rows that occur again in every column are gathered, by partial aggregates.
+    Rows are equal if two hashes agree, 128 bits; a key that different rows share names none of them, so all of these stay.
     """
     def few(keys: DataFrame) -> tuple[DataFrame, int]:
         keys = cut(keys.toDF("k").distinct())
         n = keys.count()
         return (F.broadcast(keys) if n <= most else keys), n
 
-    again, n_again = few(docs.select(row_key(docs).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"))
-    rows = by_row(docs).join(few(gone)[0], "k", "left_anti")
+    other = row_key(docs, 1)
+    counts = docs.select(row_key(docs).alias("k"), other.alias("h")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).filter("n > 1")
+    counts = cut(counts.select("k", (F.col("a") != F.col("b")).alias("shared")))
+    again, n_again = few(counts.select("k"))
+    shared = counts.filter("shared").select("k")
+    rows = docs.select(row_key(docs).alias("k"), other.alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    named = gone.toDF("k").distinct()
+    rows = rows.join(few(named.join(shared, "k", "left_anti") if n_again else named)[0], "k", "left_anti")
     if not n_again:
         return rows.select("r.*")
-    several = rows.join(again, "k", "left_semi").groupBy("k").agg(F.first("r").alias("r"))
-    return rows.join(again, "k", "left_anti").unionByName(several).select("r.*")
+    several = rows.join(again, "k", "left_semi").groupBy("k", "h").agg(F.first("r").alias("r"))
+    return rows.join(again, "k", "left_anti").select("r").unionByName(several.select("r")).select("r.*")
 
 
 def slabs_for(docs: DataFrame, slab_bytes: int, least: int = 64) -> int:

@@ -9,7 +9,7 @@ import pytest
 from helpers import words
 from pyspark.sql import functions as F
 
-from millrace.llm import surrogates
+from millrace.llm import common, surrogates
 from millrace.llm.mixing import mixed
 
 KIND = "doc_id long, text string, lang string, source string"
@@ -49,3 +49,18 @@ def test_mixing_keeps_rows_without_an_id(spark):
     docs = spark.createDataFrame(rows, KIND)
     by = {(r.doc_id, r.source): r.n for r in mixed(docs).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert sum(n for (i, _), n in by.items() if i is None) > 0
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_different_rows_of_one_key_all_stay(spark, monkeypatch, most):
+    """Keys forced onto three values: nothing is lost but what is equal in all columns; a key that names one row still removes it."""
+    rows = [(i, f"text {i}", "en", None) for i in range(40)] + [(3, "text 3", "en", None), (None, None, None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, KIND)
+    plain = common.row_key
+    gone = docs.filter("doc_id in (5, 6)").select(plain(docs).alias("x"))
+    kept = lambda: sorted(map(str, common.without(docs, gone, most).collect()))
+    want = {r for r in rows if r[0] not in (5, 6)}
+    assert len(kept()) == len(want)
+    monkeypatch.setattr(common, "row_key", lambda d, seed=None: F.pmod(plain(d), F.lit(3)) if seed is None else plain(d, seed))
+    gone = spark.createDataFrame([(0,), (1,), (2,)], "x long")
+    assert kept() == sorted(str(r) for r in spark.createDataFrame(sorted(set(rows), key=str), KIND).collect())
