@@ -1,4 +1,4 @@
-"""Addresses as column expressions: canonical form, host tests, platform registry."""
+"""Addresses as column expressions: canonical form, host tests."""
 
 from __future__ import annotations
 
@@ -12,15 +12,6 @@ TRACKING = ("refid", "trk", "lipi", "ref", "fbclid", "_hsenc", "_hsmi")
 TRACKING_PREFIXES = ("utm_", "mc_")
 TWO_LABEL = ("co.uk", "com.au", "co.nz", "com.br", "co.jp", "co.in")
 AGGREGATORS = ("linkedin.com", "indeed.com", "glassdoor.com", "ziprecruiter.com", "monster.com")
-#: Platform patterns in order: the first that matches wins; (platform, pattern, specificity).
-PLATFORMS = (
-    ("greenhouse", r"(?i)boards-api\.greenhouse\.io/v1/boards/([\w-]+)", 10),
-    ("greenhouse", r"(?i)(?:boards|job-boards)\.greenhouse\.io/([\w-]+)", 5),
-    ("lever", r"(?i)api\.lever\.co/v0/postings/([\w-]+)", 10),
-    ("lever", r"(?i)jobs\.lever\.co/([\w-]+)", 5),
-    ("ashby", r"(?i)jobs\.ashbyhq\.com/([\w.%-]+)", 5),
-    ("workable", r"(?i)apply\.workable\.com/([\w-]+)", 5),
-)
 
 
 def canonical(url: Column) -> Column:
@@ -52,15 +43,6 @@ def is_aggregator(url: Column) -> Column:
     return out
 
 
-def platform(url: Column) -> Column:
-    """(platform, slug, specificity) of the first pattern that matches, null for none."""
-    out = F.lit(None)
-    for name, pattern, specificity in reversed(PLATFORMS):
-        slug = F.regexp_extract(url, pattern, 1)
-        out = F.when(slug != "", F.struct(F.lit(name).alias("platform"), (slug if name == "ashby" else F.lower(slug)).alias("slug"), F.lit(specificity).alias("specificity"))).otherwise(out)
-    return out
-
-
 def posting_id(url: Column) -> Column:
     """The stable posting id in an address: a gh_jid parameter, else digits behind /jobs/."""
     a, b = F.regexp_extract(url, r"[?&]gh_jid=(\d+)", 1), F.regexp_extract(url, r"/jobs?/(\d+)", 1)
@@ -91,13 +73,8 @@ def q_x16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses(spark, sf_dir).select("page_id", host(u).alias("host"), registrable(host(u)).alias("domain"), is_aggregator(u).alias("aggregator"), posting_id(u).alias("posting_id"))
 
 
-def q_x18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = addresses(spark, sf_dir).select("page_id", platform(F.col("url")).alias("p")).filter("p is not null")
-    return found.select("page_id", "p.platform", "p.slug", "p.specificity")
-
-
 _P = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*)?$'"
-QUERIES = {"X15_canonical_url": q_x15, "X16_hosts": q_x16, "X18_platforms": q_x18}
+QUERIES = {"X15_canonical_url": q_x15, "X16_hosts": q_x16}
 ORACLES = {
     "X15_canonical_url": rf"""with {ADDRESSES}, p as (select page_id, url, regexp_extract(url, {_P}, 1) as s, regexp_extract(url, {_P}, 2) as h, regexp_extract(url, {_P}, 3) as path, regexp_extract(url, {_P}, 4) as q, regexp_extract(url, {_P}, 5) as f from addresses),
 k as (select *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' and lower(split_part(x, '=', 1)) not in ('refid', 'trk', 'lipi', 'ref', 'fbclid', '_hsenc', '_hsmi') and not regexp_matches(lower(split_part(x, '=', 1)), '^(?:utm_|mc_)'))), '&') as kept from p)
@@ -107,7 +84,4 @@ l as (select *, string_split(host, '.') as l from h)
 select page_id, host, array_to_string(case when array_to_string(l[-2:], '.') in ('co.uk', 'com.au', 'co.nz', 'com.br', 'co.jp', 'co.in') then l[-3:] else l[-2:] end, '.') as domain,
   regexp_matches(host, '(^|\.)(linkedin|indeed|glassdoor|ziprecruiter|monster)\.com$') as aggregator,
   coalesce(nullif(regexp_extract(url, '[?&]gh_jid=(\d+)', 1), ''), nullif(regexp_extract(url, '/jobs?/(\d+)', 1), '')) as posting_id from l""",
-    "X18_platforms": rf"""with {ADDRESSES}, e as (select page_id, [{", ".join(f"{{'p': '{n}', 's': {'' if n == 'ashby' else 'lower'}(regexp_extract(url, '{p}', 1)), 'k': {k}}}" for n, p, k in PLATFORMS)}] as e from addresses),
-f as (select page_id, list_filter(e, lambda x: x.s <> '') as f from e)
-select page_id, f[1].p as platform, f[1].s as slug, f[1].k as specificity from f where len(f) > 0""",
 }
