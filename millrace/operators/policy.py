@@ -20,6 +20,18 @@ STATE_NAMES = (
     "maine", "maryland", "massachusetts", "michigan", "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey", "new mexico", "new york", "north carolina",
     "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia", "washington", "west virginia", "wisconsin", "wyoming",
 )
+# Countries by the names that listings use, the states' and provinces' codes by name, spellings of workplaces.
+COUNTRIES = {
+    "US": ("united states", "united states of america", "usa", "u s a", "u.s.", "u.s.a."), "CA": ("canada",), "GB": ("united kingdom", "uk", "u.k.", "great britain"), "IN": ("india",), "DE": ("germany",), "FR": ("france",),
+    "AU": ("australia",), "CN": ("china",), "JP": ("japan",), "NL": ("netherlands",), "ES": ("spain",), "IT": ("italy",), "CH": ("switzerland",), "SE": ("sweden",), "NO": ("norway",), "DK": ("denmark",), "FI": ("finland",),
+    "IE": ("ireland",), "BE": ("belgium",), "AT": ("austria",), "PT": ("portugal",), "PL": ("poland",), "IL": ("israel",), "SG": ("singapore",), "HK": ("hong kong",), "NZ": ("new zealand",), "BR": ("brazil",), "MX": ("mexico",),
+    "KR": ("south korea", "korea"), "RU": ("russia",), "TR": ("turkey",), "AE": ("united arab emirates", "uae", "u.a.e."),
+}
+PROVINCES = {
+    "ontario": "on", "quebec": "qc", "british columbia": "bc", "alberta": "ab", "manitoba": "mb", "saskatchewan": "sk", "nova scotia": "ns", "new brunswick": "nb", "newfoundland and labrador": "nl",
+    "prince edward island": "pe", "northwest territories": "nt", "nunavut": "nu", "yukon": "yt",
+}
+WORKPLACES = {"remote": ("remote",), "hybrid": ("hybrid",), "onsite": ("onsite", "on-site", "on_site", "on site")}
 _ZIP, _STATE = r"\s+\d{5}(?:-\d{4})?$", rf"\s+(?:{'|'.join((*STATE_NAMES, *STATE_CODES))})$"
 # What a run's counters should do, and those that new rows alone push up.
 COUNTERS = {"total_jobs": 1, "scoring_backlog": -1, "classification_null": -1, "missing_jd_full": -1, "first_seen_today": 1}
@@ -48,30 +60,66 @@ def bare_city(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(head, _ZIP, "")), _STATE, ""))
 
 
+def _named(c: Column, codes: dict[str, tuple[str, ...]]) -> Column:
+    return ladder([(c.isin(*names), code) for code, names in codes.items()])
+
+
+def country_of(c: Column) -> Column:
+    """A country's code out of a text: two letters as they are, a known code in the first brackets that hold two letters, else a name with or without its dots and commas."""
+    said = F.trim(c)
+    bracketed = F.regexp_extract(F.upper(said), r"\(([A-Z]{2})\)", 1)
+    name = lambda x: _named(F.lower(x), COUNTRIES)
+    return F.when(said.rlike("^[A-Za-z]{2}$"), F.upper(said)).when(bracketed.isin(*COUNTRIES), bracketed).otherwise(F.coalesce(name(said), name(F.regexp_replace(said, "[.,]", ""))))
+
+
+def region_of(c: Column) -> Column:
+    """The code of a state or province, by its code or name, with or without dots; null for others."""
+    regions = {**dict(zip(STATE_NAMES, STATE_CODES, strict=False)), "district of columbia": "dc", **PROVINCES}
+    codes = {code.upper(): (name, code) for name, code in regions.items()}
+    name = lambda x: _named(F.lower(x), codes)
+    return F.coalesce(name(F.trim(c)), name(F.replace(F.trim(c), F.lit("."), F.lit(""))))
+
+
+def workplace_of(c: Column) -> Column:
+    """remote, hybrid or onsite by its usual spellings; null for anything else."""
+    return _named(F.lower(F.trim(c)), WORKPLACES)
+
+
+def coded(places: Column) -> Column:
+    """Places as (city, region, country, region_code, country_code, kind, unresolved) with codes filled in from the names where they are missing or empty."""
+    code = lambda given, name: F.coalesce(F.nullif(F.upper(F.trim(given)), F.lit("")), name)
+    return F.transform(places, lambda p: F.struct(p["city"].alias("city"), code(p["region_code"], region_of(p["region"])).alias("region_code"), code(p["country_code"], country_of(p["country"])).alias("country_code"), p["kind"].alias("kind"), p["unresolved"].alias("unresolved")))
+
+
 #: What a place comes to: (eligibility, tier, rank, sort order, fit); an open fit is null.
 OPEN, OUTSIDE, REMOTE = ("unknown", "unknown", 0, 1, None), ("ineligible", "outside_target", 0, 0, 1), ("eligible", "remote", 5, 2, 5)
 
 
-def _outcome(kind: Column | str, of: tuple) -> Column:
+def _outcome(kind: Column | str, of: tuple, *reason: Column | str) -> Column:
     eligibility, tier, rank, order, fit = of
     number = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("int")
-    return F.struct(number(order).alias("sort_order"), number(rank).alias("rank"), number(fit).alias("fit"), F.lit(eligibility).alias("eligibility"), F.lit(tier).alias("tier"), F.lit(kind).alias("workplace"))
+    why = F.concat(*[r if isinstance(r, Column) else F.lit(r) for r in reason])
+    return F.struct(number(order).alias("sort_order"), number(rank).alias("rank"), number(fit).alias("fit"), F.lit(eligibility).alias("eligibility"), F.lit(tier).alias("tier"), F.lit(kind).alias("workplace"), why.alias("reason"))
 
 
 def place_outcome(p: Column, policy: Policy) -> Column:
-    """One place (city, region_code, country_code, kind) by the first rule that decides."""
-    kind, country, region, city = p["kind"], p["country_code"], p["region_code"], p["city"]
+    """One place (city, said, region_code, country_code, kind) by the first rule that decides, with its reason; said is the city as written."""
+    kind, country, region, city, said = p["kind"], p["country_code"], p["region_code"], p["city"], F.coalesce(p["said"], F.lit(""))
     remote, hybrid = kind == "remote", kind == "hybrid"
+    where = F.concat(kind, F.lit(" in "), said, F.lit(", "), region, F.lit(", "), country)
     return ladder([
-        (~F.coalesce(kind.isin("remote", "hybrid", "onsite"), F.lit(False)), _outcome("unknown", OPEN)),
-        (remote & country.isNull(), _outcome(kind, OPEN)),
-        (remote & country.isin(*policy.remote_in, policy.home or "-"), _outcome(kind, REMOTE)),
-        (remote & F.lit(policy.home is None), _outcome(kind, OPEN)),
-        (remote | (country != policy.country) | (region != (policy.region or "-")) & F.lit(policy.region is not None), _outcome(kind, OUTSIDE)),
-        (country.isNull() | region.isNull() | (F.coalesce(city, F.lit("")) == ""), _outcome("unknown", OPEN)),
-        (city == (policy.primary or "-"), _outcome(kind, ("eligible", "primary", F.when(hybrid, 4).otherwise(2), 2, F.when(hybrid, 4).otherwise(2)))),
-        (city.isin(*policy.metro, "-"), _outcome(kind, ("eligible", "metro", F.when(hybrid, 3).otherwise(1), 2, F.when(hybrid, 3).otherwise(2)))),
-    ], _outcome(kind, OUTSIDE))
+        (kind.isNull(), _outcome("unknown", OPEN, "unspecified workplace type for ", F.when(said == "", "location").otherwise(said))),
+        (remote & country.isNull(), _outcome(kind, OPEN, "remote with no country information")),
+        (remote & country.isin(*policy.remote_in, policy.home or "-"), _outcome(kind, REMOTE, "remote in ", country, " (eligible)")),
+        (remote & F.lit(policy.home is None), _outcome(kind, OPEN, "remote in ", country, " (home country unknown)")),
+        (remote, _outcome(kind, OUTSIDE, "remote in ", country, " (not eligible)")),
+        (country != policy.country, _outcome(kind, OUTSIDE, kind, " in ", country, " (outside target)")),
+        ((region != (policy.region or "-")) & F.lit(policy.region is not None), _outcome(kind, OUTSIDE, kind, " in ", region, " (outside target)")),
+        (country.isNull() | region.isNull(), _outcome("unknown", OPEN, kind, " with insufficient location data")),
+        (said == "", _outcome("unknown", OPEN, kind, " with missing city")),
+        ((city != "") & (city == (policy.primary or "-")), _outcome(kind, ("eligible", "primary", F.when(hybrid, 4).otherwise(2), 2, F.when(hybrid, 4).otherwise(2)), where, " (primary target)")),
+        (city.isin(*policy.metro, "-"), _outcome(kind, ("eligible", "metro", F.when(hybrid, 3).otherwise(1), 2, F.when(hybrid, 3).otherwise(2)), where, " (metro)")),
+    ], _outcome(kind, OUTSIDE, where, " (outside target)"))
 
 
 def place_policy(places: Column, kind: Column, country: Column, policy: Policy) -> Column:
@@ -80,17 +128,30 @@ def place_policy(places: Column, kind: Column, country: Column, policy: Policy)
     places are structs (city, region_code, country_code, kind, unresolved), few a listing; unresolved ones don't count and
     a kind left open is the listing's own. Without any, the listing's kind and country stand for a place.
     """
-    own = F.struct(F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("region_code"), F.upper(F.trim(country)).alias("country_code"), F.lower(kind).alias("kind"))
+    some = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    none = F.lit(None).cast("string")
+    own = F.struct(none.alias("city"), none.alias("said"), none.alias("region_code"), some(country).alias("country_code"), workplace_of(kind).alias("kind"))
     known = F.transform(F.filter(places, lambda p: ~F.coalesce(p["unresolved"], F.lit(False))), lambda p: F.struct(
-        bare_city(p["city"]).alias("city"), F.upper(F.trim(p["region_code"])).alias("region_code"), F.upper(F.trim(p["country_code"])).alias("country_code"),
-        F.coalesce(F.lower(p["kind"]), F.lower(kind)).alias("kind"),
+        bare_city(p["city"]).alias("city"), p["city"].alias("said"), some(p["region_code"]).alias("region_code"), some(p["country_code"]).alias("country_code"),
+        F.coalesce(workplace_of(p["kind"]), workplace_of(kind)).alias("kind"),
     ))
-    known = F.when(F.coalesce(F.size(known), F.lit(0)) > 0, known).when(kind.isNotNull() | country.isNotNull(), F.array(own))
+    known = F.when(F.coalesce(F.size(known), F.lit(0)) > 0, known).when(some(kind).isNotNull() | some(country).isNotNull(), F.array(own))
     judged = F.transform(known, lambda p, i: F.struct(place_outcome(p, policy).alias("o"), (-i).alias("i")))
     ranked = F.transform(judged, lambda x: F.struct(x["o"]["sort_order"], x["o"]["rank"], x["i"], x["o"].alias("o")))
     return F.array_max(ranked)["o"]
 
 
+def sure(verdict: Column) -> Column:
+    """A verdict, open where there was no place to judge."""
+    return F.coalesce(verdict, _outcome("unknown", OPEN, "no location data available"))
+
+
+def fold(verdict: Column, at: Column) -> Column:
+    """An aggregate: the verdict of a job over its postings' verdicts, the best by (sort_order, rank), of equals the one with
+    the smallest `at`, with that `at`. It is a maximum, so postings of one job needn't meet in a row."""
+    return F.max(F.struct(verdict["sort_order"].alias("sort_order"), verdict["rank"].alias("rank"), (-at).alias("back"), verdict.alias("verdict")))
+
+
 def fingerprint(places: Column, kind: Column, country: Column, policy: Policy) -> Column:
     """A digest of what a verdict hangs on, so that unchanged listings aren't judged again."""
     known = lambda c: F.coalesce(c, F.lit("~"))
@@ -125,6 +186,25 @@ def q_c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", *[F.coalesce(F.col(f"v.{k}"), v).alias(k) for k, v in open_.items()], "fingerprint")
 
 
+WEST = Policy(remote_in=("US", "CA"), home="CN", country="US", region="CA", primary="city 1", metro=("city 2",))
+_POSTED = {"1-URGENT": "Remote", "2-HIGH": "on-site", "3-MEDIUM": " HYBRID ", "4-NOT SPECIFIED": "Unspecified"}
+
+
+def q_c10_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as jobs, their orders as postings whose places have names instead of codes; a job's verdict over all of them."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    named = F.expr("case c_custkey % 5 when 0 then n_name when 1 then lower(n_name) || '.' when 2 then 'Remote (us)' when 3 then substr(n_name, 1, 2) end")
+    jobs = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", named.alias("country"), F.when(F.col("c_mktsegment") == "BUILDING", "Hybrid").alias("own"))
+    region, city = F.expr("case o_orderkey % 4 when 0 then 'California' when 1 then ' ca' when 2 then 'N.Y.' end"), F.expr("case when o_orderkey % 7 > 0 then 'City ' || o_orderkey % 5 end")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", region.alias("region"), city.alias("city"), ladder([(F.col("o_orderpriority") == p, k) for p, k in _POSTED.items()]).alias("kind"))
+    none = F.lit(None).cast("string")
+    place = F.struct("city", "region", "country", none.alias("region_code"), none.alias("country_code"), "kind", F.lit(False).alias("unresolved"))
+    rows = orders.join(jobs, F.col("o_custkey") == F.col("c_custkey")).withColumn("places", coded(F.array(place)))
+    judged = rows.select("c_custkey", "o_orderkey", sure(place_policy(F.col("places"), F.col("own"), F.lit(None).cast("string"), WEST)).alias("v"))
+    best = judged.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("postings"), F.count_if(F.col("v.eligibility") == "eligible").alias("eligible"), fold(F.col("v"), F.col("o_orderkey")).alias("b"))
+    return best.select("c_custkey", "postings", "eligible", (-F.col("b.back")).alias("posting"), *[F.col(f"b.verdict.{k}").alias(k) for k in ("eligibility", "tier", "workplace", "rank", "fit", "reason")])
+
+
 def movement(name: str, delta: Column, fresh: Column, attributable: Column) -> Column:
     """A counter's change in words. New rows push some counters up by as many as they are; only what exceeds them is worse."""
     d = F.coalesce(delta, F.lit(0))
@@ -171,7 +251,7 @@ def q_o08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetched(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 41, 200)
 
 
-QUERIES = {"C10_place_policy": q_c10, "C16_packets": q_c16, "O08_cursor_fetch": q_o08}
+QUERIES = {"C10_place_policy": q_c10, "C10_postings": q_c10_postings, "C16_packets": q_c16, "O08_cursor_fetch": q_o08}
 
 
 def _movement_sql(name: str) -> str:
@@ -204,6 +284,28 @@ select o_orderkey, case coalesce(so, 1) when 2 then 'eligible' when 1 then 'unkn
   case w when 'outside' then 1 when 'remote' then 5 when 'primary' then rk when 'metro' then if(kind = 'hybrid', 3, 2) end as fit,
   sha256(concat_ws(';', coalesce(said, ''), coalesce(own, '~'), coalesce(own_country, '~'), '{MARKET.digest()}')) as fingerprint
 from o left join b on k = o_orderkey left join s on l_orderkey = o_orderkey""",
+    "C10_postings": """with p as (select c_custkey, o_orderkey, case when o_orderkey % 7 > 0 then 'City ' || o_orderkey % 5 end as city,
+    case c_custkey % 5 when 0 then map {'brazil': 'BR', 'canada': 'CA', 'china': 'CN', 'france': 'FR', 'germany': 'DE', 'india': 'IN', 'japan': 'JP', 'russia': 'RU', 'united kingdom': 'GB', 'united states': 'US'}[lower(n_name)]
+      when 1 then map {'brazil': 'BR', 'canada': 'CA', 'china': 'CN', 'france': 'FR', 'germany': 'DE', 'india': 'IN', 'japan': 'JP', 'russia': 'RU', 'united kingdom': 'GB', 'united states': 'US'}[lower(n_name)]
+      when 2 then 'US' when 3 then upper(n_name[1:2]) end as cc,
+    case o_orderkey % 4 when 0 then 'CA' when 1 then 'CA' when 2 then 'NY' end as rc,
+    case o_orderpriority when '1-URGENT' then 'remote' when '2-HIGH' then 'onsite' when '3-MEDIUM' then 'hybrid' else if(c_mktsegment = 'BUILDING', 'hybrid', null) end as kind
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+w as (select *, case when kind is null then 'untold' when kind = 'remote' and cc is null then 'nowhere' when kind = 'remote' then if(cc in ('US', 'CA', 'CN'), 'remote', 'far')
+    when cc <> 'US' then 'abroad' when rc <> 'CA' then 'elsewhere' when cc is null or rc is null then 'vague' when city is null then 'cityless'
+    when city = 'City 1' then 'primary' when city = 'City 2' then 'metro' else 'other' end as w from p),
+v as (select c_custkey, o_orderkey, case when w in ('remote', 'primary', 'metro') then 2 when w in ('untold', 'nowhere', 'vague', 'cityless') then 1 else 0 end as so,
+    case w when 'remote' then 5 when 'primary' then if(kind = 'hybrid', 4, 2) when 'metro' then if(kind = 'hybrid', 3, 1) else 0 end as rank,
+    case w when 'remote' then 5 when 'primary' then if(kind = 'hybrid', 4, 2) when 'metro' then if(kind = 'hybrid', 3, 2) when 'far' then 1 when 'abroad' then 1 when 'elsewhere' then 1 when 'other' then 1 end as fit,
+    case when w in ('remote', 'primary', 'metro') then w when w in ('far', 'abroad', 'elsewhere', 'other') then 'outside_target' else 'unknown' end as tier,
+    if(w in ('untold', 'vague', 'cityless'), 'unknown', kind) as workplace,
+    case w when 'untold' then 'unspecified workplace type for ' || coalesce(city, 'location') when 'nowhere' then 'remote with no country information' when 'remote' then 'remote in ' || cc || ' (eligible)'
+      when 'far' then 'remote in ' || cc || ' (not eligible)' when 'abroad' then kind || ' in ' || cc || ' (outside target)' when 'elsewhere' then kind || ' in ' || rc || ' (outside target)'
+      when 'vague' then kind || ' with insufficient location data' when 'cityless' then kind || ' with missing city'
+      else kind || ' in ' || city || ', ' || rc || ', ' || cc || case w when 'primary' then ' (primary target)' when 'metro' then ' (metro)' else ' (outside target)' end end as reason from w),
+n as (select c_custkey, count(*) as postings, count(*) filter (so = 2) as eligible from v group by 1)
+select c_custkey, postings, eligible, o_orderkey as posting, case so when 2 then 'eligible' when 1 then 'unknown' else 'ineligible' end as eligibility, tier, workplace, rank, fit, reason
+from v join n using (c_custkey) qualify row_number() over (partition by c_custkey order by so desc, rank desc, o_orderkey) = 1""",
     "C16_packets": f"""with {_RUNS}, n as (select *, row_number() over (partition by job order by began desc, id desc) as r from runs),
 p as (select a.job, a.id, b.seconds as past, row_number() over (partition by a.job, a.id order by b.r) as k from runs a join n b on a.job = b.job and a.id <> b.id where b.r <= 11 and b.good),
 b as (select job, id, count(*) as history, round(quantile_cont(past, 0.1), 6) as low, round(quantile_cont(past, 0.9), 6) as high from p where k <= 10 group by all),

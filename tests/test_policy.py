@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.policy import Policy, bare_city, fetched, forced, movement, place_policy
+from millrace.operators.policy import Policy, bare_city, coded, country_of, fetched, fold, forced, movement, place_policy, region_of, sure, workplace_of
 
 PLACES = "array<struct<city:string,region_code:string,country_code:string,kind:string,unresolved:boolean>>"
 BAY = Policy(home="US", region="CA", primary="san francisco", metro=("oakland",))
@@ -60,3 +60,43 @@ def test_forced(spark):
 
 def test_fetched(spark):
     assert [r.id for r in fetched(spark.range(100), "id", 41, 3).collect()] == [42, 43, 44]
+
+
+def mapped(spark, make, cases):
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.m for r in df.select("c", make(F.col("c")).alias("m")).collect()} == cases
+
+
+def test_names_to_codes(spark):
+    mapped(spark, country_of, {
+        "United States": "US", "u.s.a.": "US", "U.K": "GB", "ca": "CA", "Remote (US)": "US", "New York, NY/Remote (us)": "US", "Remote (NY)": None, "Engineer (AI)": None, "XX": "XX", " Korea ": "KR", "U.A.E.": "AE", "Atlantis": None, "": None, None: None,
+    })
+    mapped(spark, region_of, {"California": "CA", "ca": "CA", "N.Y.": "NY", "District of Columbia": "DC", "d.c.": "DC", "Wyoming": "WY", "British Columbia": "BC", "ON": "ON", "ZZ": None, "Bavaria": None, "": None, None: None})
+    mapped(spark, workplace_of, {"Remote": "remote", " On-site": "onsite", "on_site": "onsite", "HYBRID": "hybrid", "unspecified": None, "": None, None: None})
+
+
+@pytest.mark.parametrize("place_, kind, country, want", [
+    (("San Francisco", "California", "USA", None, None, "Hybrid", False), None, None, "hybrid in San Francisco, CA, US (primary target)"),
+    (("Oakland", None, "United States", "ca", "", "unspecified", False), "on-site", None, "onsite in Oakland, CA, US (metro)"),
+    (("Austin", "Texas", None, None, None, "onsite", False), None, None, "onsite in TX (outside target)"),
+    (("Paris", None, "France", None, None, "onsite", False), None, None, "onsite in FR (outside target)"),
+    (("Paris", None, "France", None, None, "remote", False), None, None, "remote in FR (not eligible)"),
+    ((None, None, "Remote (US)", None, None, "remote", False), None, None, "remote in US (eligible)"),
+    ((None, None, None, None, None, "remote", False), None, None, "remote with no country information"),
+    ((None, "California", "US", None, None, "onsite", False), None, None, "onsite with missing city"),
+    (("Oakland", None, "US", None, None, "onsite", False), None, None, "onsite with insufficient location data"),
+    (("Oakland", "California", "US", None, None, None, False), None, None, "unspecified workplace type for Oakland"),
+    (("Oakland", "California", "US", None, None, None, True), "", "", "no location data available"),
+])
+def test_reasons(spark, place_, kind, country, want):
+    kinds = "p array<struct<city:string,region:string,country:string,region_code:string,country_code:string,kind:string,unresolved:boolean>>, kind string, country string"
+    df = spark.createDataFrame([([place_], kind, country)], kinds)
+    assert df.select(sure(place_policy(coded(F.col("p")), F.col("kind"), F.col("country"), BAY)).alias("v")).first()["v"]["reason"] == want
+
+
+def test_fold_takes_the_best_posting_and_the_first_of_equals(spark):
+    rows = [(1, 9, [place("Oakland", "CA", "US", "onsite")]), (1, 4, [place("Austin", "TX", "US", "onsite")]), (1, 7, [place("Oakland", "CA", "US", "onsite")]), (2, 3, []), (2, 1, [place("Austin", "TX", "US", "onsite")])]
+    df = spark.createDataFrame(rows, f"job int, at int, p {PLACES}")
+    none = F.lit(None).cast("string")
+    v = df.select("job", "at", sure(place_policy(F.col("p"), none, none, BAY)).alias("v")).groupBy("job").agg(fold(F.col("v"), F.col("at")).alias("b"))
+    assert {r.job: (-r.b.back, r.b.verdict.reason) for r in v.collect()} == {1: (7, "onsite in Oakland, CA, US (metro)"), 2: (3, "no location data available")}
