@@ -42,3 +42,26 @@ def test_pay_ladder(spark, text, low, high, period, resolution, annual):
 
 def test_pay_without_a_range(spark):
     assert column(spark, ["starting at $120K", None], lambda c: pay.observed(c, "x")) == [None, None]
+
+
+def test_vendor_words(spark):
+    cases = {"per-year-salary": "annual", "1 YEAR": "annual", "Semiannual": "annual", "Hourly": "hourly", "month": "monthly", "WEEK": "weekly", "per day": "daily", "shift": "unknown", "": "unknown", None: "unknown"}
+    assert column(spark, list(cases), pay.interval_period) == list(cases.values())
+    cases = {"usd": "USD", " gbp ": "GBP", "CHF": "USD", "unknown": "UNKNOWN", "": "USD", None: "USD"}
+    assert column(spark, list(cases), pay.column_currency) == list(cases.values())
+
+
+@pytest.mark.parametrize("low, high, interval, want", [
+    (120000.0, 150000.0, "1 YEAR", (120000, 150000, "annual", "ok")), (42.0, 51.0, "hour", (87360, 106080, "hourly", "salvaged_hourly")), (2000.0, 3000.0, "week", (104000, 156000, "unknown", "salvaged_weekly")),
+    (3.0, 4.0, "year", (None, None, None, "implausible")), (12000000.0, 15000000.0, None, (120000, 150000, "unknown", "salvaged_cents")), (None, 90000.0, "", (None, 90000, "unknown", "ok")), (None, None, "year", None),
+])
+def test_captured_columns(spark, low, high, interval, want):
+    df = spark.createDataFrame([(low, high, interval)], "low double, high double, i string")
+    df = df.withColumn("o", pay.vendor_observation(F.col("low"), F.col("high"), F.col("i"), F.lit("eur")))
+    r = pay.with_captured(df, "o", F.lit("raw")).first()
+    if want is None:
+        assert [r[k] for k in r.asDict() if k.startswith("salary_")] == [None] * 6
+        return
+    seen = r.salary_observations[0]
+    assert (r.salary_min, r.salary_max, r.salary_period, seen.resolution) == want
+    assert (r.salary_currency, r.salary_provenance, seen.raw_text, seen.min_value, seen.max_value) == ("EUR", "ats_structured", "raw", low, high)
