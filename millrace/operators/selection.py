@@ -298,10 +298,21 @@ def q_j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolve parts by normalised title; several candidates are narrowed by token overlap; verdict by how many are left."""
     part = table(spark, sf_dir, "part")
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    want = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("job"), norm(F.col("p_name")).alias("title"), F.split(F.lower("p_type"), " ").alias("tokens"))
-    have = part.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("posting"), norm(F.col("p_name")).alias("title"), F.split(F.lower("p_type"), " ").alias("other"))
-    pairs = want.join(have, "title").withColumn("near", F.arrays_overlap("tokens", "other"))
-    per = pairs.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("n_near"), F.min(F.when(F.col("near"), F.col("posting"))).alias("near"), F.min("posting").alias("only"))
+    tokens = F.coalesce(F.array_sort(F.array_distinct(F.split(F.lower("p_type"), " "))), F.array().cast("array<string>"))
+    rows = part.select("p_partkey", norm(F.col("p_name")).alias("title"), tokens.alias("tokens"))
+    return resolution(rows.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "job"), rows.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "posting"))
+
+
+def resolution(jobs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Jobs (job, title, tokens) against postings (posting, title, tokens), token sets sorted.
+
+    Only the different token sets of a title meet: postings are counted by title and set first, and a title's jobs of one set share what they find, so
+    no job is paired with each posting of its title.
+    """
+    have = postings.groupBy("title", F.col("tokens").alias("other")).agg(F.count(F.lit(1)).alias("m"), F.min("posting").alias("first"))
+    near = F.arrays_overlap("tokens", "other")
+    kinds = jobs.select("title", "tokens").distinct().join(have, "title").groupBy("title", "tokens").agg(F.sum("m").alias("n"), F.sum(F.when(near, F.col("m")).otherwise(0)).alias("n_near"), F.min(F.when(near, F.col("first"))).alias("near"), F.min("first").alias("only"))
+    per = jobs.join(kinds, ["title", "tokens"]).groupBy("job").agg(F.sum("n").alias("n"), F.sum("n_near").alias("n_near"), F.min("near").alias("near"), F.min("only").alias("only"))
     verdict = F.when(F.col("n") == 1, "strict").when(F.col("n_near") == 1, "loose").otherwise("ambiguous")
     return per.select("job", "n", "n_near", verdict.alias("verdict"), F.when(F.col("n") == 1, F.col("only")).when(F.col("n_near") == 1, F.col("near")).alias("posting"))
 
