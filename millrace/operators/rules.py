@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.names import jaccard, shingles
 from millrace.functions.phrases import said
-from millrace.plans.projections import AXES, LISTINGS, SCORES, days_between, let, listings, scores, table
+from millrace.plans.projections import AXES, LISTINGS, SCORES, days_between, let, listings, rounded, scores, table
 
 AS_OF = "1996-01-01"
 # Scam phrases, refusal wordings, terminal tiers, thresholds in days.
@@ -222,7 +222,7 @@ def q_c20(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = days_between(F.col("last_seen"), as_of())
     recency = ladder([(age <= 7, 100.0), (age <= 30, 70.0), (age <= 90, 40.0)], 10.0)
     rows = listings(spark, sf_dir).filter(F.col("last_seen") < as_of())
-    total = F.round(0.4 * pay + 0.3 * recency + 0.2 * (F.col("quantity") * 2) + 0.1 * F.when(F.col("stratum") == "P", 100.0).otherwise(20.0), 1)
+    total = rounded(0.4 * pay + 0.3 * recency + 0.2 * (F.col("quantity") * 2) + 0.1 * F.when(F.col("stratum") == "P", 100.0).otherwise(20.0), 1)
     return rows.select("listing_id", total.alias("score")).filter("score >= 60")
 
 
