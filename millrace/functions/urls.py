@@ -49,6 +49,11 @@ def posting_id(url: Column) -> Column:
     return F.when(a != "", a).when(b != "", b)
 
 
+def direct_address(url: Column) -> Column:
+    """The address lies on a platform's own board."""
+    return url.rlike(r"(?i)://(?:boards\.greenhouse\.io|(?:api|jobs)\.lever\.co|jobs\.ashbyhq\.com)/")
+
+
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' addresses, with platform hosts and parameters put on some."""
     n, url = F.col("page_id"), F.col("url")

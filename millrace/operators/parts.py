@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.names import NAMED, STOPWORDS, named, title_key, title_key_sql
-from millrace.functions.urls import ADDRESSES, TWO_LABEL, addresses, host, posting_id, registrable
+from millrace.functions.urls import ADDRESSES, TWO_LABEL, addresses, direct_address, host, posting_id, registrable
 from millrace.plans.projections import LISTINGS, listings, table
 from millrace.streaming.events import shared_folder
 
@@ -174,7 +174,7 @@ def q_x17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_x19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return addresses(spark, sf_dir).select("page_id", posting_id(F.col("url")).alias("posting_id"))
+    return addresses(spark, sf_dir).select("page_id", posting_id(F.col("url")).alias("posting_id"), direct_address(F.col("url")).alias("direct"))
 
 
 def q_d01(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +309,7 @@ a as (select *, case when length(joined) >= 2 and (len(list_filter(regexp_extrac
 select doc_id, acronym, array_to_string(case when acronym is null or list_contains(runs, acronym) then runs else list_append(runs, acronym) end, ' ') as stems,
   coalesce(regexp_matches(body, '{BEFORE}' || array_to_string(regexp_extract_all(acronym, '.'), '[^a-z0-9]?') || '{AFTER}'), false) as mentioned from a""",
     "X17_domains": f"with {ADDRESSES} select case when array_to_string({_LABELS}[-2:], '.') in ({', '.join(repr(x) for x in TWO_LABEL)}) then array_to_string({_LABELS}[-3:], '.') else array_to_string({_LABELS}[-2:], '.') end as domain, count(*) as n from addresses group by 1",
-    "X19_posting_ids": rf"with {ADDRESSES} select page_id, coalesce({_JOBID}, nullif(regexp_extract(url, '/jobs?/(\d+)', 1), '')) as posting_id from addresses",
+    "X19_posting_ids": rf"with {ADDRESSES} select page_id, coalesce({_JOBID}, nullif(regexp_extract(url, '/jobs?/(\d+)', 1), '')) as posting_id, regexp_matches(url, '(?i)://(?:boards\.greenhouse\.io|(?:api|jobs)\.lever\.co|jobs\.ashbyhq\.com)/') as direct from addresses",
     "D01_iso_times": """with s as (select event_id, date_trunc('second', ts)::timestamp as s from events)
 select event_id, case event_id % 4 when 3 then null else date_diff('microsecond', s - case event_id % 4 when 1 then interval 2 hours else interval 0 hours end, timestamp '2024-02-01')::double / 86400000000::double end as days from s""",
     "D02_day_latency": f"with {LISTINGS} select stratum, round(avg(date_diff('microsecond', first_seen::date::timestamp, last_seen) / 86400000000.0), 6) as mean_days, count(*) filter (last_seen < first_seen::date::timestamp) as before from listings group by 1",
