@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,8 @@ from millrace.session import ship
 from millrace.streaming.events import shared_folder
 
 BLOCK = 1000
+#: Width of the blocks of mailboxes that share their uids, so that a block still holds thousands of messages of each.
+SHARED_BLOCK = 250_000
 
 
 @dataclass
@@ -25,13 +28,14 @@ class Range(InputPartition):
     validity: int
     first: int
     last: int
-    files: tuple[str, ...]
+    folders: tuple[str, ...]
 
 
 class Mailboxes(DataSource):
-    """Folders mailbox=M/validity=V/block=B of JSON lines {uid, raw}; a block holds the uids of one BLOCK.
+    """Folders mailbox=M/validity=V/block=B of JSON lines {uid, raw}; a block holds the uids of one width.
 
-    Only the largest validity of a mailbox can be read. Options: path, any file system that Arrow knows, and most, how many blocks a partition reads.
+    Only the largest validity of a mailbox can be read. Options: path, any file system that Arrow knows; most, how many blocks a partition reads; block,
+    the width that the store was written with, BLOCK by default. A store has about one file a block and arrival, so narrow blocks of thin mailboxes are many small files.
     """
 
     @classmethod
@@ -53,7 +57,7 @@ class MailboxReader(DataSourceStreamReader):
     """
 
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("most", 16))
+        self.path, self.most, self.block = options["path"], int(options.get("most", 16)), int(options.get("block", BLOCK))
 
     def _store(self):
         from pyarrow import fs
@@ -75,7 +79,7 @@ class MailboxReader(DataSourceStreamReader):
     def _messages(self, store, files: list[str]) -> Iterator[dict]:
         for file in files:
             with store.open_input_stream(file) as stream:
-                yield from (json.loads(line) for line in stream.read().decode().split("\n") if line)  # not splitlines: JSON keeps other line ends as they are
+                yield from (json.loads(line) for line in io.TextIOWrapper(stream, "utf-8", newline="\n") if line != "\n")  # JSON keeps other line ends as they are
 
     def _live(self, store, folder: str) -> tuple[int, dict[int, str]] | None:
         """The validity that can be read now, and its blocks."""
@@ -106,27 +110,26 @@ class MailboxReader(DataSourceStreamReader):
             if first > last:
                 continue
             blocks = self._numbers(store, f"{root}/mailbox={mailbox}/validity={validity}", "block")
-            wanted = sorted((int(b), path) for b, path in blocks.items() if first // BLOCK <= int(b) <= last // BLOCK)
+            wanted = sorted((int(b), path) for b, path in blocks.items() if first // self.block <= int(b) <= last // self.block)
             for at in range(0, len(wanted), self.most):
-                part = wanted[at : at + self.most]
-                out.append(Range(mailbox, validity, first, last, tuple(f for _, path in part for f in self._files(store, path))))
+                out.append(Range(mailbox, validity, first, last, tuple(path for _, path in wanted[at : at + self.most])))
         return out
 
     def read(self, partition: Range) -> Iterator[tuple]:
         store, _ = self._store()
-        for message in self._messages(store, partition.files):
+        for message in self._messages(store, [f for folder in partition.folders for f in self._files(store, folder)]):
             # A range is asked for by its ends, which a store may clamp to the nearest message: what lies outside is left.
             if partition.first <= message["uid"] <= partition.last:
                 yield partition.mailbox, partition.validity, message["uid"], message["raw"]
 
 
-def store_messages(rows: DataFrame, path: str) -> None:
-    """Append messages (mailbox, validity, uid, raw) to a store of mailboxes."""
-    laid = rows.withColumn("block", F.floor(F.col("uid") / BLOCK)).repartition("mailbox", "validity", "block")
+def store_messages(rows: DataFrame, path: str, block: int = BLOCK) -> None:
+    """Append messages (mailbox, validity, uid, raw) to a store of mailboxes with blocks of that width."""
+    laid = rows.withColumn("block", F.floor(F.col("uid") / block)).repartition("mailbox", "validity", "block")
     laid.select("mailbox", "validity", "block", "uid", "raw").write.mode("append").partitionBy("mailbox", "validity", "block").json(path)
 
 
-def read_mailboxes(spark: SparkSession, path: str, out: str, most: int = 16) -> DataFrame:
+def read_mailboxes(spark: SparkSession, path: str, out: str, most: int = 16, block: int = BLOCK) -> DataFrame:
     """Take what is new since the last call with the same `out` folder, and return all messages taken so far.
 
     The cursor lies in the checkpoint of the stream, rows in a folder with a commit log, so a run that is broken off and repeated neither loses
@@ -134,7 +137,7 @@ def read_mailboxes(spark: SparkSession, path: str, out: str, most: int = 16) ->
     """
     ship(spark)
     spark.dataSource.register(Mailboxes)
-    rows = spark.readStream.format("mailboxes").option("path", path).option("most", most).load()
+    rows = spark.readStream.format("mailboxes").option("path", path).option("most", most).option("block", block).load()
     query = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("mailbox string, validity long, uid long, raw string").parquet(f"{out}/rows")
@@ -151,13 +154,13 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_rounds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(messages, what was taken with its round): the mailboxes are read after each round of arrivals, and once more."""
     messages, path, out = event_messages(spark, sf_dir), shared_folder(spark, "mail"), shared_folder(spark, "taken")
-    store_messages(messages.filter("round = 1").drop("round"), path)
-    first = read_mailboxes(spark, path, out).select("mailbox", "validity", "uid").withColumn("seen", F.lit(True))
+    store_messages(messages.filter("round = 1").drop("round"), path, SHARED_BLOCK)
+    first = read_mailboxes(spark, path, out, block=SHARED_BLOCK).select("mailbox", "validity", "uid").withColumn("seen", F.lit(True))
     kept = shared_folder(spark, "first")
     first.write.parquet(kept)
-    store_messages(messages.filter("round = 2").drop("round"), path)
-    read_mailboxes(spark, path, out)
-    taken = read_mailboxes(spark, path, out)
+    store_messages(messages.filter("round = 2").drop("round"), path, SHARED_BLOCK)
+    read_mailboxes(spark, path, out, block=SHARED_BLOCK)
+    taken = read_mailboxes(spark, path, out, block=SHARED_BLOCK)
     return messages, taken.join(spark.read.parquet(kept), ["mailbox", "validity", "uid"], "left").withColumn("taken_in", F.when(F.col("seen"), 1).otherwise(2))
 
 

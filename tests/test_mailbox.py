@@ -59,3 +59,16 @@ def test_raw_text_comes_whole(spark, mail):
     store_messages(spark.createDataFrame([("a", 1, 1, "Subject: ü\r\n\r\nline\n  \"quoted\" \\ " + "x" * 100_000)], KIND), path)
     read()
     assert len(list(MailboxReader({"path": path}).read(MailboxReader({"path": path}).partitions({}, {"a": [1, 1]})[0]))[0][3]) > 100_000
+
+
+def test_wide_blocks_are_few_files(spark, tmp_path):
+    """Two thin mailboxes that share their uids: a file each, not one a thousand uids, and the same messages."""
+    path, out = tmp_path / "mail", str(tmp_path / "out")
+    rows = spark.range(1, 60_001, 100).selectExpr("cast(id % 2 as string) as mailbox", "1L as validity", "id as uid", "'one two\\nthree' as raw")
+    store_messages(rows.selectExpr("cast(uid div 100 % 2 as string) as mailbox", "validity", "uid", "raw"), str(path), 50_000)
+    assert len(list(path.rglob("*.json"))) == 4
+    reader = MailboxReader({"path": str(path), "most": "1", "block": "50000"})
+    assert reader.latestOffset() == {"0": [1, 59_801], "1": [1, 59_901]}
+    assert [len(list(reader.read(p))) for p in reader.partitions({"0": [1, 49_801]}, {"0": [1, 59_801]})] == [0, 50]
+    got = read_mailboxes(spark, str(path), out, block=50_000)
+    assert got.count() == 600 and got.select("raw").distinct().collect()[0][0] == "one two\nthree"
