@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.names import NAMED, named
+from millrace.functions.names import NAMED, named, shingle_hashes
 from millrace.functions.pay import merged
 from millrace.functions.phrases import said
 from millrace.functions.urls import host
@@ -97,14 +97,17 @@ def with_quality(rows: DataFrame) -> DataFrame:
     Likeness is that of the whole texts' sets of five words. A company's texts meet as one array of its latest sets, so no pair of rows is built; empty texts have quality 0, rows without a company no siblings.
     """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    n = F.size("_w")
-    sets = F.when(n == 0, F.array().cast("array<long>")).when(n < 5, F.array(F.xxhash64("_w"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, F.lit(5))))))
-    rows = rows.withColumn("_w", words).withColumns({"_set": sets, "_n": n}).drop("_w")
-    latest = rows.filter("company is not null").select("company", "id", "seen", "_set").withColumn("_k", F.row_number().over(Window.partitionBy("company").orderBy(F.desc("seen"), F.desc("id")))).filter(F.col("_k") <= SIBLINGS + 1)
+    # The latest are chosen by their keys alone, so only their texts are cut into sets a second time.
+    newest = Window.partitionBy("company").orderBy(F.desc("seen"), F.desc("id"))
+    first = rows.filter("company is not null and id is not null").select(F.col("company").alias("_c"), F.col("id").alias("_i"), F.row_number().over(newest).alias("_k")).filter(F.col("_k") <= SIBLINGS + 1).select("_c", "_i").distinct()
+    few = rows.join(sent_whole(first), (F.col("company") == F.col("_c")) & (F.col("id") == F.col("_i")), "left_semi")
+    few = few.select("company", "id", "seen", shingle_hashes(words).alias("_set"))
+    rows = rows.withColumn("_w", words).withColumns({"_set": shingle_hashes(F.col("_w")), "_n": F.size("_w")}).drop("_w")
+    latest = few.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= SIBLINGS + 1)
     latest = latest.groupBy("company").agg(F.array_sort(F.collect_list(F.struct("_k", "id", "_set"))).alias("_latest"))
     others = F.slice(F.filter("_latest", lambda s: s["id"] != F.col("id")), 1, SIBLINGS)
-    shared = lambda s: F.size(F.array_intersect("_set", s["_set"]))
-    alike = F.transform(F.filter(others, lambda s: F.size(s["_set"]) > 0), lambda s: shared(s) / (F.size("_set") + F.size(s["_set"]) - shared(s)))
+    shared = F.transform(F.filter(others, lambda s: F.size(s["_set"]) > 0), lambda s: F.struct(F.size(F.array_intersect("_set", s["_set"])).alias("n"), F.size(s["_set"]).alias("of")))
+    alike = F.transform(shared, lambda s: s["n"] / (F.size("_set") + s["of"] - s["n"]))
     overlap = F.when(F.size("_set") > 0, F.coalesce(F.array_max(alike), F.lit(0.0))).otherwise(0.0)
     shaped = F.lower("text").rlike(POSTING)
     return rows.join(latest, "company", "left").withColumn("quality", F.when(F.coalesce("text", F.lit("")) == "", 0.0).otherwise(text_quality(F.col("_n"), shaped, overlap))).drop("_set", "_n", "_latest")
