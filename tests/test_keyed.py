@@ -67,3 +67,38 @@ def test_keys_fire_again_only_when_forgotten(spark):
         want[i] = "silent" if k in kept else "fired"
         kept = kept if k in kept else [*kept, k][-2:]
     assert {r.event_id: r.verdict for r in got.collect()} == want  # the last event is behind no watermark yet
+
+
+class State:
+    """A key's state with a watermark; counts how often it is written."""
+
+    def __init__(self):
+        self.kept, self.timeout, self.mark, self.writes = None, None, 0, 0
+
+    exists = property(lambda self: self.kept is not None)
+    get = property(lambda self: self.kept)
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def update(self, value):
+        self.kept, self.timeout, self.writes = value, None, self.writes + 1
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.mark
+        self.timeout = at
+
+
+def test_a_key_is_one_state_row_a_batch():
+    import pandas as pd
+
+    state, fire = State(), keyed.FireOnce(2)
+    frame = lambda *rows: pd.DataFrame(rows, columns=["us", "event_id", "kind", "cost"])
+    go = lambda *chunks: [tuple(r) for out in fire((7,), iter(chunks), state) for r in out.itertuples(index=False)]
+    assert go(frame((5_000_000, 2, "a", 0), (1_000_000, 1, "a", 0)), frame((9_000_999, 3, "b", 0))) == [] and state.timeout == 1000
+    state.mark = 5000
+    assert go() == [(7, 1, "fired")] and state.timeout == 5000  # a row at the mark isn't passed yet
+    state.mark = 9000
+    assert go(frame((9_500_000, 4, "c", 0))) == [(7, 2, "silent")] and state.timeout == 9000
+    state.mark = 10_000
+    assert go() == [(7, 3, "fired"), (7, 4, "fired")] and state.timeout is None and state.writes == 4
