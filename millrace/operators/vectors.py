@@ -22,9 +22,11 @@ CHUNK = 1024
 
 def units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of a list column at unit length; a vector of length 0 stays."""
-    rows = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
-    size = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(size > 0, size, 1)
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    out = np.concatenate([part.flatten().to_numpy(zero_copy_only=False) for part in parts]).astype(np.float64, copy=False).reshape(len(column), -1)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    out /= np.where(size > 0, size, 1)
+    return out
 
 
 def best_of_list(k: int):
@@ -40,9 +42,9 @@ def best_of_list(k: int):
         for start in range(0, len(asks), CHUNK):
             mine = asks[start : start + CHUNK]
             held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for at in range(0, len(ids), CHUNK * 8):
-                among = ids[at : at + CHUNK * 8]
-                score = np.round(q[start : start + CHUNK] @ v[at : at + CHUNK * 8].T, 6)
+            for at in range(0, len(ids), CHUNK):
+                among = ids[at : at + CHUNK]
+                score = np.round(q[start : start + CHUNK] @ v[at : at + CHUNK].T, 6)
                 score[mine[:, None] == among] = -np.inf
                 most = min(k, len(among))
                 i, j = np.nonzero((score >= -np.partition(-score, most - 1, axis=1)[:, most - 1 : most]) & (score > -np.inf))

@@ -64,3 +64,22 @@ def test_all_lists_are_exact_with_copies_and_odd_rows(spark):
     assert vector_index(rows.limit(0)).rows.count() == 0
     assert search(vector_index(rows.limit(0)), asked(rows)).count() == 0
     assert search(index, asked(rows.limit(0))).count() == 0
+
+
+def test_vectors_are_read_as_one_array():
+    """Their numbers never stand as Python objects, five times their size; slices, chunks and nulls inside are read as they are."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from millrace.operators.vectors import units
+
+    x = np.random.default_rng(1).normal(size=(20_000, 64))
+    column = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 64).cast(pa.list_(pa.float64()))
+    tracemalloc.start()
+    got = units(pa.chunked_array([column.slice(0, 7000), column.slice(7000)]))
+    assert tracemalloc.get_traced_memory()[1] < 3.5 * x.nbytes
+    tracemalloc.stop()
+    assert np.array_equal(got, x / np.linalg.norm(x, axis=1, keepdims=True))
+    odd = units(pa.array([[0.0, 0.0], [1.0, None], [3.0, 4.0]]))
+    assert odd[0].tolist() == [0, 0] and np.isnan(odd[1, 1]) and odd[2].tolist() == [0.6, 0.8]
